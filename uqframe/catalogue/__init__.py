@@ -1,8 +1,8 @@
 """Registered queries: every operator on whole tables, with equivalent SQL where it exists."""
 
-from uqframe.catalogue import cleaning, features
+from uqframe.catalogue import cleaning, diagnostics, features, reports, splits
 
-MODULES = (cleaning, features)
+MODULES = (cleaning, features, splits, reports, diagnostics)
 
 
 def registered() -> dict:

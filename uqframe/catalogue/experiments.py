@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uqframe.sources.session import spread
+
 ENVELOPE = '{"QA":{"envelope":{"E_B_range":[0.5,20.0],"B_Y_range":[5.0,60.0],"C_H_range":[0.1,0.7]}}}'
 
 LINE_COLUMNS = {
@@ -75,6 +77,7 @@ ALL_COLUMNS = {**LINE_COLUMNS, **PART_COLUMNS}
 def experiments(spark: SparkSession, sf_dir: str, part: bool = False) -> DataFrame:
     """The experiment table. Only queries that need a part column pay for that join."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = spread(rows, "l_orderkey", "l_linenumber")
     if part:
         parts = spark.read.parquet(f"{sf_dir}/part.parquet")
         rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))

@@ -2,7 +2,7 @@
 
 Spark's ``percentile`` keeps one map entry per distinct value of a group, which fails for
 a group with billions of distinct doubles. Here every value gets a monotone integer code
-(octave and position inside the octave). One map-side combined pass counts values per
+(even steps of its logarithm). One map-side combined pass counts values per
 code; that small histogram names the code which holds each wanted rank. A second pass
 looks only at the values inside those codes.
 """
@@ -19,13 +19,9 @@ STEPS = 1 << 12
 
 
 def value_code(v: Column) -> Column:
-    """Order-preserving integer code with a relative width of 1/4096."""
-    size = F.abs(v)
-    octave = F.floor(F.log2(size))
-    inside = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * F.lit(float(STEPS)))
-    inside = F.least(F.greatest(inside, F.lit(0)), F.lit(STEPS - 1))
-    code = (octave + 1100) * F.lit(STEPS) + inside + 1
-    return F.when(v == 0, F.lit(0)).when(v > 0, code).otherwise(-code).cast("bigint")
+    """Order-preserving integer code with 4096 even logarithmic steps per octave."""
+    step = F.floor(F.log2(F.abs(v)) * F.lit(float(STEPS))) + F.lit(1100 * STEPS)
+    return F.when(v == 0, F.lit(0)).when(v > 0, step).otherwise(-step).cast("bigint")
 
 
 def long_values(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:

@@ -37,3 +37,13 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores when the scan alone gives fewer tasks than there are cores.
+
+    A table of few row groups would otherwise keep most cores idle. A scan that already has
+    a task per core, as any large table has, comes back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
