@@ -1,8 +1,12 @@
 """Registered queries: every operator on whole tables, with equivalent SQL where it exists."""
 
-from uqframe.catalogue import cleaning, diagnostics, features, reports, splits
+from uqframe.catalogue import (
+    cleaning, diagnostics, features, models, neighbours, physics, reports, splits, surfaces,
+    tables,
+)
 
-MODULES = (cleaning, features, splits, reports, diagnostics)
+MODULES = (cleaning, features, splits, reports, diagnostics, physics, surfaces, neighbours,
+           models, tables)
 
 
 def registered() -> dict:
