@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from uqframe.catalogue.experiments import experiments, measured
 from uqframe.operators import encode, intervals, metrics, splits
 from uqframe.plans import scoring, training
-from uqframe.sources.session import new_path
+from uqframe.sources.session import cut_lineage, new_path
 
 NUMERIC = ["temp_c", "t_min", "o_c", "h_c", "c", "h", "o"]
 FOREST = {"numTrees": 20, "maxDepth": 8, "seed": 42}
@@ -24,7 +24,8 @@ def table(spark, sf, part=False):
         df, NUMERIC, ["frac_water"], ["acid_flag"], ["b_y", "c_y", "a_y", "g_y", "hhv_biooil",
                                                      "o_biooil", "h_biooil"],
         use_family=part, domains={"subtype_": []})
-    return splits.split_rows(out.df), [c for c in out.x_cols if not c.startswith("cat_is")]
+    frame = cut_lineage(splits.split_rows(out.df), "features")  # written once, fitted often
+    return frame, out.x_cols
 
 
 def cv(spark, sf):

@@ -122,8 +122,8 @@ QUERIES = {
         f"SELECT feedstock, count(*) AS n, sum(temp_c) AS sum_t, sum(t_min) AS sum_m, count(a_y) AS n_a, "
         f"{r6('avg(o_c)')} AS mean_o_c, cast(0 as bigint) AS malformed FROM e GROUP BY 1")),
     "raw_exports": (raw_exports, with_e(
-        "SELECT 'metadata' AS part, 7 AS columns, count(*) AS n FROM e UNION ALL SELECT 'numeric_features', 14, count(*) "
-        "FROM e UNION ALL SELECT 'targets', 12, count(*) FROM e UNION ALL SELECT 'categorical_features', 16, count(*) "
+        "SELECT 'metadata' AS part, 8 AS columns, count(*) AS n FROM e UNION ALL SELECT 'numeric_features', 13, count(*) "
+        "FROM e UNION ALL SELECT 'targets', 12, count(*) FROM e UNION ALL SELECT 'categorical_features', 15, count(*) "
         "FROM e UNION ALL SELECT 'lri_imputed_nonzero', 0, count(*) FROM e WHERE t_min <> 5")),
     "feature_export": (feature_export, with_e(" UNION ALL ".join(
         [f"SELECT 'family_{v}' AS \"column\", count(*) FILTER (family = '{v}') AS n_ones, cast(null as double) AS total "

@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor,
     LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
@@ -23,11 +23,10 @@ from uqframe.constants import (
 )
 from uqframe.functions.exprs import to_number
 from uqframe.operators.columns import rows_for_target
-from uqframe.operators.encode import (
-    TargetTransform, choose_transform, pairwise_design, sample_weights,
-)
+from uqframe.operators.encode import TargetTransform, choose_transform, sample_weights
 from uqframe.operators.metrics import finite_pairs, r2, rmse
 from uqframe.operators.splits import subsample
+from uqframe.sources.session import cut_lineage
 
 FOREST_MODES = ("rf", "rf_qr", "rf_cal")
 BOOSTED_MODES = ("xgb", "xgb_cal")
@@ -84,21 +83,19 @@ class Fitted:
 
 
 def with_vector(df: DataFrame, features: list[str], mode: str, strict: bool = True) -> DataFrame:
-    """Add the ``features`` vector; the linear model also gets all pairwise products."""
+    """Add the ``features`` vector; the linear model also gets all pairwise products.
+
+    The vector is one expression over the columns. Helper columns would double the
+    optimizer's constraints with every feature.
+    """
     missing = [c for c in features if c not in df.columns]
     if missing and strict:
         raise KeyError(f"missing features {missing}")
-    base = df.withColumns({c: F.lit(0.0) for c in missing}) if missing else df
-    names, wide = list(features), base
+    x = [F.lit(0.0) if c in missing else F.col(f"`{c}`").cast("double") for c in features]
     if mode == "lr":
-        wide, names = pairwise_design(base, features)
-    # plain vector slots: names with dots or slashes never reach the assembler
-    slots = {n: f"_x{i}" for i, n in enumerate(names)}
-    wide = wide.withColumns({s: F.col(f"`{n}`").cast("double") for n, s in slots.items()})
-    out = VectorAssembler(inputCols=list(slots.values()), outputCol="features",
-                          handleInvalid="keep").transform(wide)
-    extra = [n for n in names if n not in df.columns]
-    return out.drop(*slots.values(), *extra)
+        x += [a * b for i, a in enumerate(x) for b in x[i + 1:]]
+    values = F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in x])
+    return df.withColumn("features", array_to_vector(values))
 
 
 def fit_model(df: DataFrame, target: str, features: list[str], mode: str = "rf",
@@ -183,10 +180,11 @@ def train_targets(df: DataFrame, targets: list[str], features: list[str], k: int
 
     ``df`` has an integer ``fold`` column from row or group folds. A target that is absent
     or has too few rows gets a result row of nulls. Fits of different targets may overlap
-    on the cluster; the frame is kept so that folds do not recompute the features.
+    on the cluster. The frame is written once, so that folds neither recompute the features
+    nor depend on executors that may be lost.
     """
     spark = df.sparkSession
-    frame = sample_weights(df, strategy).persist()
+    frame = cut_lineage(sample_weights(df, strategy), "training")
     present = [t for t in targets if t in df.columns]
     usable = frame.dropna(subset=features).agg(
         *[F.count(to_number(t)).alias(t) for t in present]).collect()[0].asDict() if present else {}
@@ -240,6 +238,7 @@ def search(df: DataFrame, target: str, features: list[str], base: dict[str, Any]
     """Best parameters by cross-validated R², and the (candidate, r2) table."""
     candidates = random_candidates() if candidates is None else candidates
     rows = with_vector(rows_for_target(df, target, features), features, "rf")
+    rows = cut_lineage(rows.select(target, "features", "fold"), "search")
     est = make_estimator("rf", base).setLabelCol(target).setFeaturesCol("features")
     cv = CrossValidator(estimator=est, estimatorParamMaps=param_maps(est, candidates),
                         evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
@@ -258,8 +257,8 @@ def light_tuning(df: DataFrame, target: str, features: list[str],
                  n: int = LIGHT_TUNING_ROWS, parallelism: int = 2
                  ) -> tuple[dict[str, Any], DataFrame]:
     """Best of a few overrides on a small row sample, by R² on a held-out part of it."""
-    rows = subsample(rows_for_target(df, target, features), n)
-    rows = with_vector(rows, features, "rf")
+    rows = with_vector(subsample(rows_for_target(df, target, features), n), features, "rf")
+    rows = cut_lineage(rows.select(target, "features"), "tuning")
     est = make_estimator("rf", base).setLabelCol(target).setFeaturesCol("features")
     maps = param_maps(est, candidates)
     maps = maps if any(maps) else ParamGridBuilder().build()
