@@ -49,13 +49,15 @@ def test_group_residuals(rows):
     assert oof.count() == 400
 
 
-@pytest.mark.parametrize("literal", [True, False])
-def test_tree_intervals(spark, rows, monkeypatch, literal):
+@pytest.mark.parametrize("way", ["literal", "broadcast", "join"])
+def test_tree_intervals(spark, rows, monkeypatch, way):
     fitted = training.fit_model(rows, "c_biooil", X, "rf_cal", FOREST)
     folder = new_path(spark, "models")
     training.save_models(spark, {"c_biooil": {"rf": fitted}}, folder)
-    if not literal:
+    if way != "literal":
         monkeypatch.setattr(intervals, "MAX_LITERAL_NODES", 0)
+    if way == "join":
+        monkeypatch.setattr(intervals, "MAX_BROADCAST_NODES", 0)
     frame = training.with_vector(rows, X, "rf")
     path = training.model_path(folder, "c_biooil", "rf")
     out = intervals.ensemble_interval(frame, fitted.model, path, 0.2, fitted.transform, (fitted.slope, fitted.shift))

@@ -65,7 +65,7 @@ def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], bounded:
     inside = inside.groupBy(*keys, "code", "value").agg(F.count("*").alias("c"))
     cell_order = Window.partitionBy(*keys, "code").orderBy("value")
     inside = inside.withColumn("upto", F.sum("c").over(cell_order))
-    found = attach(hit.drop("cnt"), inside, [*keys, "code"], "inner", bounded=False, salts=1)
+    found = attach(inside, hit.drop("cnt"), [*keys, "code"], "inner", bounded=bounded, salts=1)
     first = F.col("before") + F.col("upto") - F.col("c")
     last = F.col("before") + F.col("upto")
     return found.groupBy(*keys, "slot").agg(
