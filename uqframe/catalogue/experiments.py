@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uqframe.operators.skew import attach
 from uqframe.sources.session import spread
 
 ENVELOPE = '{"QA":{"envelope":{"E_B_range":[0.5,20.0],"B_Y_range":[5.0,60.0],"C_H_range":[0.1,0.7]}}}'
@@ -79,8 +80,8 @@ def experiments(spark: SparkSession, sf_dir: str, part: bool = False) -> DataFra
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = spread(rows, "l_orderkey", "l_linenumber")
     if part:
-        parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-        rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumnRenamed("p_partkey", "l_partkey")
+        rows = attach(rows, parts, ["l_partkey"], "inner", salt_by=["l_orderkey", "l_linenumber"])
     columns = ALL_COLUMNS if part else LINE_COLUMNS
     return rows.select(*[F.expr(e).alias(n) for n, e in columns.items()])
 

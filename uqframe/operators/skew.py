@@ -11,13 +11,14 @@ SALTS = 16
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
-           bounded: bool = False, salts: int = SALTS) -> DataFrame:
+           bounded: bool = False, salts: int = SALTS, salt_by: list[str] = ()) -> DataFrame:
     """Join per-key facts onto rows; null keys match null keys.
 
     ``small`` holds few rows per key. With ``bounded`` its size does not grow with the data
-    and it is broadcast. Otherwise the rows of a key are spread over ``salts`` parts by the
-    task that holds them and the facts are repeated once per part, so a hot key is shuffled
-    to many tasks. One salt is a plain join, for sides that hold few rows per key.
+    and it is broadcast. Otherwise the rows of a key are spread over ``salts`` parts, by the
+    hash of the ``salt_by`` columns or else by the task that holds them, and the facts are
+    repeated once per part, so a hot key is shuffled to many tasks. One salt is a plain join,
+    for sides that hold few rows per key.
     """
     keys = {c: f"_k_{i}" for i, c in enumerate(on)}
     right = small.withColumnsRenamed(keys)
@@ -25,7 +26,8 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
     if bounded:
         right = F.broadcast(right)
     if salted:
-        big = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        part = F.xxhash64(*salt_by) if salt_by else F.spark_partition_id()
+        big = big.withColumn("_salt", F.pmod(part, F.lit(salts)).cast("int"))
         right = right.withColumn("_salt_k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     tests: list[Column] = [big[c].eqNullSafe(right[k]) for c, k in keys.items()]
     if salted:
