@@ -119,3 +119,15 @@ def test_physics_scoring(rows):
     assert "b_y" in scored.columns and scored.select("b_y").exceptAll(rows.select("b_y")).count() == 0
     leaves = models["b_y"].model.copy().setLeafCol("l").transform(training.with_vector(rows, X, "rf"))
     assert leaves.select(F.size(vector_to_array("l"))).distinct().collect()[0][0] == 6
+
+
+def test_predict_with_physics(rows):
+    models = {t: training.fit_model(rows, t, X, "rf", FOREST) for t in ("b_y", "hhv_biooil")}
+    frame = rows.drop("a_y")
+    some = scoring.predict_with_physics(frame, models, ["b_y", "hhv_biooil"])
+    assert "b_y_phys" not in some.columns  # not all four yields were asked for
+    full = scoring.predict_with_physics(frame, models, ["b_y", "c_y", "a_y", "g_y", "hhv_biooil"])
+    got = full.select("b_y", "b_y_phys", "hhv_biooil", "e_b_phys", "c_y_phys").limit(20).collect()
+    for r in got:  # rows without all yields are not scaled
+        assert r["b_y_phys"] == r["b_y"] and r["c_y_phys"] is None
+        assert r["e_b_phys"] == pytest.approx(r["b_y"] / 100 * r["hhv_biooil"])

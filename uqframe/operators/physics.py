@@ -103,11 +103,10 @@ def physics_evaluation(df: DataFrame, targets: list[str], raw: str = "p_", phys:
           for k, m in (("r2_raw", r2()), ("rmse_raw", rmse()))],
         *[F.when((F.count("*") >= min_rows) & (n_q >= min_rows), F.round(m, 3)).alias(k)
           for k, m in (("r2_phys", r2("yq", "q")), ("rmse_phys", rmse("yq", "q")))])
-    closure = []
+    errors = {}
     for label, prefix in (("closure_raw", raw), ("closure_phys", phys)):
-        columns = [prefix + c for c in YIELDS if prefix + c in df.columns]
-        error = row_sum(columns) - 100.0
-        closure.append(df.agg(
-            F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse_raw")
-        ).withColumn("target", F.lit(label)))
-    return out.unionByName(closure[0].unionByName(closure[1]), allowMissingColumns=True)
+        errors[label] = row_sum([prefix + c for c in YIELDS if prefix + c in df.columns]) - 100.0
+    one = df.agg(F.count("*").alias("n"),
+                 *[F.sqrt(F.avg(e * e)).alias(label) for label, e in errors.items()])
+    closure = one.unpivot(["n"], list(errors), "target", "rmse_raw")
+    return out.unionByName(closure, allowMissingColumns=True)

@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+MAX_LIST_ROWS = 100_000
+
+
+def fits(df: DataFrame, limit: int = MAX_LIST_ROWS) -> bool:
+    """Whether a list that the user passes in is small enough to broadcast: it is counted,
+    no further than the limit."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",

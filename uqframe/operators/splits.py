@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from uqframe.functions.exprs import hash_bucket, to_number
 from uqframe.operators.quantiles import nth_smallest
-from uqframe.operators.skew import attach
+from uqframe.operators.skew import attach, fits
 
 HASH_RANGE = float(1 << 32)
 UNKNOWN_GROUP = "UNKNOWN_DOI"
@@ -75,13 +75,15 @@ def holdout_match(df: DataFrame, papers: DataFrame, id_col: str = "doi",
 
     ``papers`` (id, title, label) is the user's list. Two equi-joins stand for the OR.
     """
+    small = fits(papers)
+
     def side(key: str, name: str) -> DataFrame:
         rows = papers.where((F.trim(F.col(key)) != "") & F.col(key).isNotNull())
         return rows.groupBy(F.trim(F.col(key)).alias(name)).agg(F.min("label").alias(name + "_l"))
 
     out = df.withColumns({"_id": F.trim(F.col(id_col)), "_title": F.trim(F.col(title_col))})
-    out = attach(out, side("id", "_id"), ["_id"])
-    out = attach(out, side("title", "_title"), ["_title"])
+    out = attach(out, side("id", "_id"), ["_id"], bounded=small)
+    out = attach(out, side("title", "_title"), ["_title"], bounded=small)
     return out.withColumn("label", F.least("_id_l", "_title_l")).drop(
         "_id", "_title", "_id_l", "_title_l")
 
@@ -89,9 +91,12 @@ def holdout_match(df: DataFrame, papers: DataFrame, id_col: str = "doi",
 def unmatched_papers(df: DataFrame, papers: DataFrame, id_col: str = "doi",
                      title_col: str = "title") -> DataFrame:
     """Selected papers without any row."""
+    small = fits(papers)
+
     def known(column: str, key: str) -> DataFrame:
         rows = df.select(F.trim(F.col(column)).alias(key))
-        return rows.join(papers.select(key), key, "left_semi").distinct()
+        wanted = papers.select(key).distinct()
+        return attach(rows, wanted, [key], "inner", bounded=small).distinct()
 
     by_id = papers.join(known(id_col, "id"), "id", "left_anti")
     return by_id.join(known(title_col, "title"), "title", "left_anti")
@@ -108,7 +113,7 @@ def tag_conditions(df: DataFrame, wanted: DataFrame, keys: list[str],
     out = df.withColumns({f"_c_{c}": e for c, e in read.items()})
     facts = wanted.groupBy(*[F.col(c).alias(f"_c_{c}") for c in keys]).agg(
         F.max("tag").alias("tag"))
-    out = attach(out, facts, list(f"_c_{c}" for c in keys)).drop(*[f"_c_{c}" for c in keys])
+    out = attach(out, facts, [f"_c_{c}" for c in keys], bounded=fits(wanted)).drop(*[f"_c_{c}" for c in keys])
     return out if require is None else out.withColumn("tag", F.when(require, F.col("tag")))
 
 
