@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import quality
+from uqframe.llm import packing, pieces, quality
 from uqframe.llm.common import table
 
 
@@ -13,6 +13,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("clean_text", "row")
 
 
+def tokenizer_file(name: str) -> str:
+    """A file of the installed public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = tokenizer_file("piece_bpe_32k.model")
+    return pieces.encode_documents(docs, model, with_ids=False).drop("ids")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
+    "op2_sentence_pieces": (op2_sentence_pieces, None),
+    "op3_packing": (op3_packing, None),
 }
