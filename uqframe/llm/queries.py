@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import packing, pieces, quality
+from uqframe.llm import packing, pieces, quality, warc
 from uqframe.llm.common import table
 
 
@@ -31,8 +31,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+#: SHA-1 in base 32: the 32 groups of five bits, each found in two hexadecimal digits.
+BASE32 = """array_to_string(list_transform(range(32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((CAST('0x' || substr(hex || '0',
+    CAST(1 + (5 * i) // 4 AS INT), 2) AS INT)) >> CAST(3 - (5 * i) % 4 AS INT)) & 31), 1)), '')"""
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM d)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM w"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
     "op3_packing": (op3_packing, None),
+    "op4_warc": (op4_warc, WARC_SQL),
 }
