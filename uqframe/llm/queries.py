@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import packing, pieces, quality, warc
+from uqframe.llm import credentials, packing, pieces, quality, substrings, warc
 from uqframe.llm.common import table
 
 
@@ -49,9 +49,34 @@ SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
 FROM w"""
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substrings.remove_repeats(docs, with_text=False).drop("kept_text")
+
+
+SUBSTRINGS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS key FROM s),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS first FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE first < doc_id),
+r AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+j AS (SELECT d.doc_id, ws, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed, sha256(array_to_string(
+  list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM j"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
     "op3_packing": (op3_packing, None),
     "op4_warc": (op4_warc, WARC_SQL),
+    "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
+    "op7_secrets": (op7_secrets, None),
 }
