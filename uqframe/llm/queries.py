@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uqframe.llm import credentials, packing, pieces, quality, substrings, warc
+from uqframe.llm import (
+    credentials, packing, pieces, quality, substrings, superminhash, warc,
+)
 from uqframe.llm.common import table
 
 
@@ -72,11 +74,16 @@ SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed, sha256(array_to_strin
 FROM j"""
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
     "op3_packing": (op3_packing, None),
     "op4_warc": (op4_warc, WARC_SQL),
     "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
+    "op9_near_duplicates": (op9_near_duplicates, None),
     "op7_secrets": (op7_secrets, None),
 }
