@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uqframe.llm import (
-    credentials, packing, pieces, quality, substrings, superminhash, warc,
+    credentials, packing, pieces, postings, quality, substrings, superminhash, warc,
 )
 from uqframe.llm.common import table
 
@@ -78,6 +78,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return postings.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
@@ -85,5 +90,6 @@ QUERIES = {
     "op4_warc": (op4_warc, WARC_SQL),
     "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
     "op9_near_duplicates": (op9_near_duplicates, None),
+    "op10_neighbours": (op10_neighbours, None),
     "op7_secrets": (op7_secrets, None),
 }
