@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uqframe.llm import (
-    credentials, packing, pieces, postings, quality, substrings, superminhash, warc,
+    credentials, packing, pieces, postings, quality, substrings, superminhash, toxicity,
+    warc,
 )
 from uqframe.llm.common import table
 
@@ -83,6 +84,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
@@ -91,5 +96,6 @@ QUERIES = {
     "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
     "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_neighbours": (op10_neighbours, None),
+    "op6_toxicity": (op6_toxicity, None),
     "op7_secrets": (op7_secrets, None),
 }
