@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uqframe.llm import (
-    credentials, packing, pieces, postings, quality, substrings, superminhash, toxicity,
-    warc,
+    credentials, packing, pieces, postings, quality, substrings, suffix_tree,
+    superminhash, toxicity, warc,
 )
 from uqframe.llm.common import table
 
@@ -88,6 +88,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
     "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_neighbours": (op10_neighbours, None),
+    "op5_suffix_tree": (op5_suffix_tree, None),
     "op6_toxicity": (op6_toxicity, None),
     "op7_secrets": (op7_secrets, None),
 }
