@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uqframe.llm import quality
+from uqframe.llm import credentials, packing, quality, substrings, superminhash
 from uqframe.llm.common import table
+from uqframe.llm.queries import tokenizer_file
 from uqframe.sources.session import cut_lineage
 
 
@@ -14,7 +15,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_rules(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: shingles of five words, similarity of 0.8 or more."""
+    return superminhash.keep_first(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that an earlier document holds."""
+    return substrings.without_repeats(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their secrets replaced by a mark."""
+    return credentials.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
 
 #: Tokens and learned automata cannot be written in SQL; tests use brute force.
 ORACLE_SQL = None

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from uqframe.llm.common import arrow_schema, slices
 from uqframe.sources.session import new_path
@@ -17,38 +18,51 @@ BLOCK = "block long, doc_ids array<long>, texts array<binary>, n_bytes long"
 BLOCK_BYTES = 4 << 20
 
 
-def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of (doc_id, text) in the order of the tasks. A row of ``docs`` lies in exactly one
-    block; a text that is longer than a block makes one of its own. Null texts are empty."""
-    kind = arrow_schema(BLOCK)
+def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
+                 carry: list[str] = ()) -> DataFrame:
+    """Blocks of (doc_id, text) in the order of the tasks, with the columns of ``carry`` as an
+    array of structs, ``rows``. A row of ``docs`` lies in exactly one block; a text that is
+    longer than a block makes one of its own. Null texts are empty."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("binary").alias("text"),
+                       *([F.struct(*carry).alias("row")] if carry else []))
+    schema = StructType.fromDDL(BLOCK)
+    if carry:
+        schema = schema.add("rows", ArrayType(read.schema["row"].dataType))
+    kind = arrow_schema(schema)
 
     def run(batches):
         task, n = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        ids, texts, rows, size = [], [], [], 0
 
-        def row():
-            return pa.RecordBatch.from_pydict(
-                {"block": [(task << 32) | n], "doc_ids": [ids], "texts": [texts],
-                 "n_bytes": [size]}, schema=kind)
+        def block():
+            columns = [pa.array([(task << 32) | n]), pa.array([ids], kind.field("doc_ids").type),
+                       pa.array([texts], kind.field("texts").type), pa.array([size])]
+            if carry:
+                values = pa.concat_arrays(rows)
+                columns.append(pa.ListArray.from_arrays([0, len(values)], values))
+            return pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip(columns, kind)], schema=kind)
 
         for part in slices(batches):
-            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+            values = zip(part["doc_id"].to_pylist(), part["text"].to_pylist())
+            for k, (doc_id, text) in enumerate(values):
                 text = text or b""
                 if ids and size + len(text) > block_bytes:
-                    yield row()
-                    ids, texts, size, n = [], [], 0, n + 1
+                    yield block()
+                    ids, texts, rows, size, n = [], [], [], 0, n + 1
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
+                if carry:
+                    rows.append(part["row"].slice(k, 1))
         if ids:
-            yield row()
+            yield block()
 
     spark = docs.sparkSession
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("binary").alias("text"))
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    (read.mapInArrow(run, BLOCK).write.bucketBy(buckets, "block")
+    (read.mapInArrow(run, schema).write.bucketBy(buckets, "block")
      .option("path", new_path(spark, name)).option("compression", "zstd").saveAsTable(name))
     return spark.table(name)
 

@@ -16,12 +16,14 @@ none; rows with the same id do not remove each other's words; extra columns are
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from uqframe.llm.blocks import total_bytes, with_answers, write_blocks
 from uqframe.llm.common import arrow_schema, mix
@@ -205,9 +207,9 @@ def covered(w: Windows, shards: int, cells: list[dict], keys: list[dict]) -> np.
     return np.cumsum(edge[:-1]) > 0
 
 
-def mark(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
+def mark(docs: DataFrame, width: int = WIDTH, carry: list[str] = ()) -> tuple[DataFrame, int]:
     """Blocks with the answers of both passes (``cells`` and ``keys``), and the shard count."""
-    blocks = write_blocks(docs)
+    blocks = write_blocks(docs, carry=carry)
     shards, n_bytes = 1, total_bytes(blocks)
     while shards * SHARD_WORDS * BYTES_PER_WORD < n_bytes:
         shards *= 2
@@ -263,4 +265,50 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
+def cut_words(text: bytes, gone: list[bool]) -> bytes:
+    """A text without some of its words and the blanks after them."""
+    out, at = [], 0
+    for m, g in zip(WORD.finditer(text), gone):
+        if g:
+            out.append(text[at:m.start()])
+            at = m.end()
+    return b"".join(out) + text[at:]
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """All documents with all their columns, without the words that ``remove_repeats`` removes;
+    ``n_chars`` follows the text. Texts that lose no word stay as they are; null texts stay null."""
+    carry = [c for c in docs.columns if c != "text"]
+    marked = docs.withColumn(IS_NULL, F.col("text").isNull())
+    blocks, shards = mark(marked, width, [*carry, IS_NULL])
+    schema = StructType.fromDDL("text binary").add("row", blocks.schema["rows"].dataType.elementType)
+    kind = arrow_schema(schema)
+
+    def finish(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, texts, cells, keys = (batch[c][at].as_py() for c in (
+                    "doc_ids", "texts", "cells", "keys"))
+                w = Windows(ids, texts, width)
+                gone = covered(w, shards, cells, keys)
+                out, k = [], 0
+                for text, ws in zip(texts, w.words):
+                    cut = gone[k:k + len(ws)]
+                    k += len(ws)
+                    out.append(cut_words(text, cut.tolist()) if cut.any() else text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out, pa.binary()), batch["rows"][at].values.cast(kind.field("row").type)],
+                    schema=kind)
+
+    done = blocks.select("doc_ids", "texts", "cells", "keys", "rows").mapInArrow(finish, schema)
+    text = F.when(~F.col("row").getField(IS_NULL), F.col("text").cast("string"))
+    done = done.withColumn("text", text)
+    cols = {c: F.col("row").getField(c) for c in carry} | {"text": F.col("text")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[cols[c].alias(c) for c in docs.columns])
+
+
+IS_NULL = "_text_is_null"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"

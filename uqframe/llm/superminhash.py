@@ -253,3 +253,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     own = F.coalesce("component", "first")
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
                       F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that stay, with all their columns: of each component the one with the
+    smallest id. Repeated rows of a document stay or go together."""
+    found = near_duplicates(docs, size, percent)
+    gone = cut_lineage(found.where("not kept").select("doc_id").distinct(), "duplicates")
+    gone = F.broadcast(gone) if fits(gone, 500_000) else gone
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
