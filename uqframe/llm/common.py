@@ -26,12 +26,12 @@ def slices(batches: Iterable[pa.RecordBatch], step: int = SLICE_ROWS) -> Iterato
 
 
 def map_rows(df: DataFrame, per_slice: Callable[[pa.RecordBatch], dict],
-             schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` where ``per_slice`` turns a few rows into columns of plain values."""
+             schema: str | StructType, step: int = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` where ``per_slice`` turns up to ``step`` rows into columns of plain values."""
     kind = arrow_schema(schema)
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, step):
             yield pa.RecordBatch.from_pydict(per_slice(part), schema=kind)
 
     return df.mapInArrow(run, schema)
