@@ -29,8 +29,8 @@ def test_one_hot_round_trip(spark):
     tie = spark.createDataFrame([(1.0, 1.0)], "f_a double, f_b double")
     assert tie.select(encode.decode_one_hot(["f_a", "f_b"], "f_")).collect()[0][0] == "a"
     assert encode.learn_domain(df, "family") == ["", "a", "b", "unseen"]
-    with pytest.raises(ValueError):
-        encode.learn_domain(df, "family", limit=2)
+    many = spark.range(1500).select(F.format_string("label %04d", "id").alias("family"))
+    assert len(encode.learn_domain(many, "family")) == 1500
 
 
 def test_logits(spark):
@@ -95,4 +95,6 @@ def test_ratio_and_quantiles(spark):
     assert got[0] == pytest.approx((32 / 15.999) / (60 / 12.011)) and got[1:] == [None, None]
     t = spark.range(1).select(exprs.student_quantile(0.975, F.lit(10)), exprs.student_quantile(0.975, F.lit(200)))
     assert list(t.collect()[0]) == pytest.approx([2.2281, 1.9719], abs=2e-3)
+    few = spark.range(1).select(*[exprs.student_quantile(0.975, F.lit(n)) for n in (1, 2, 5, 30, 31)])
+    assert list(few.collect()[0]) == pytest.approx([12.7062, 4.3027, 2.5706, 2.0423, 2.0395], abs=2e-4)
     assert math.isclose(exprs.z_value(0.975), 1.959964, abs_tol=1e-6)

@@ -48,7 +48,7 @@ def test_quantiles_and_folds_of_a_hot_key(hot):
     assert got["hot"] == pytest.approx(np.quantile(values, 0.37))
     folds = splits.group_folds(hot, "k", 4)
     sizes = {r["fold"]: r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    assert max(sizes.values()) == 10000 and sum(sizes.values()) == 20000
+    assert 10000 <= max(sizes.values()) < 12500 and sum(sizes.values()) == 20000
 
 
 def test_facts_and_shape(hot):

@@ -115,7 +115,7 @@ def untrained(spark, sf):
 def preview(spark, sf):
     """The first violating rows."""
     df = measured(experiments(spark, sf, part=True))
-    return columns.preview(df, rule_test("e_b", None, 25.0),
+    return columns.preview(df, rule_test("e_b", None, 8.0),
                            ["row_id", "feedstock", "temp_c", "e_b", "source_figure"], 5, ["row_id"])
 
 
@@ -228,7 +228,7 @@ SELECT *, 'missing' AS status FROM (SELECT * FROM k EXCEPT ALL SELECT * FROM o)
 SELECT t AS target FROM (VALUES ('b_y'), ('c_y'), ('a_y'), ('g_y'), ('n_biooil'), ('s_biooil')) v(t)
  WHERE t NOT IN (SELECT target FROM f WHERE n >= 30)""")),
     "violation_preview": (preview, with_m(
-        "SELECT row_id, feedstock, temp_c, e_b FROM m WHERE e_b > 25 ORDER BY row_id LIMIT 5")),
+        "SELECT row_id, feedstock, temp_c, e_b FROM m WHERE e_b > 8 ORDER BY row_id LIMIT 5")),
     "normalize_ids": (ids, with_e(
         f"SELECT row_id, regexp_replace(lower(trim(doi)), {_PREFIXES}, '') AS doi, "
         f"trim(regexp_replace(lower(trim(doi)), {_STRICT}, '')) AS strict FROM e")),

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from uqframe.catalogue.experiments import bucket_sql, experiments, with_e
 from uqframe.operators import splits
+from uqframe.operators.cleaning import normalize_ids
 from uqframe.operators.columns import process_label
 from uqframe.sources.session import new_path
 from uqframe.sources.tables import write_split
 
-PAPERS = [("10.1/S7", "", "paper A"), ("", "Study 12", "paper B"),
-          ("10.1/S40", "Study 0", "paper C"), ("10.1/none", "No such study", "paper D")]
-CONDITIONS = [("10.1/S10", "AF", 200.0, 10.0, "table 1"), ("10.1/S10", "NO", 220.0, 15.0, "table 1"),
-              ("10.1/S4", "RF", 240.0, 20.0, "table 2"), ("10.1/S13", "AO", 300.0, 25.0, "table 2"),
-              ("10.1/S16", "AF", 204.0, 5.0, "table 3"), ("10.1/S22", "RF", 260.0, 30.0, "table 3")]
+PAPERS = [("10.1/s7", "", "paper A"), ("", "Study 12", "paper B"),
+          ("10.1/s40", "Study 0", "paper C"), ("10.1/none", "No such study", "paper D")]
+#: Conditions of three papers; those of the second table need a measured initial concentration.
+CONDITIONS = [(f"10.1/s{n}", feedstock, 180.0 + 4 * q, 5.0 * line, f"table {table}", table == 2)
+              for n, table in ((4, 1), (7, 2), (9, 3)) for feedstock in ("AF", "NO", "RF")
+              for q in range(2, 51, 3) for line in (1, 2, 4)]
 
 
 def rows(spark, sf):
@@ -59,7 +61,7 @@ def stored(spark, sf):
 
 def papers(spark, sf):
     """Whole papers by id or title, taken out of training."""
-    df = experiments(spark, sf).select("doi", "title", "b_y")
+    df = normalize_ids(experiments(spark, sf).select("doi", "title", "b_y"))
     wanted = spark.createDataFrame(PAPERS, "id string, title string, label string")
     out = splits.holdout_match(df, wanted)
     found = out.groupBy("label").agg(F.count("*").alias("n"))
@@ -69,12 +71,12 @@ def papers(spark, sf):
 
 def partial(spark, sf):
     """rows of one paper under listed conditions."""
-    df = experiments(spark, sf).select("row_id", F.trim("doi").alias("doi"), "feedstock",
-                                       F.col("temp_c").cast("string").alias("temp_c"), "t_min", "hhv_biooil")
+    df = normalize_ids(experiments(spark, sf).select(
+        "row_id", "doi", "feedstock", F.col("temp_c").cast("string").alias("temp_c"), "t_min", "ic"))
     wanted = spark.createDataFrame(
-        CONDITIONS, "doi string, feedstock string, temp_c double, t_min double, tag string")
+        CONDITIONS, "doi string, feedstock string, temp_c double, t_min double, tag string, required boolean")
     out = splits.tag_conditions(df, wanted, ["doi", "feedstock", "temp_c", "t_min"],
-                                F.col("hhv_biooil").isNotNull())
+                                F.col("ic").isNotNull())
     return out.where("tag is not null").select("row_id", "tag")
 
 
@@ -115,7 +117,7 @@ def _group_sql(group: str) -> str:
             "t AS (SELECT max(h) AS top FROM (SELECT h FROM g ORDER BY h LIMIT (SELECT k FROM n)))")
 
 
-_K = ", ".join("cast(0 as bigint)" for _ in range(10))
+_ID = "regexp_replace(lower(trim(doi)), '^(https://doi.org/|doi:)', '')"
 QUERIES = {
     "split_rows": (rows, with_e(f"SELECT row_id, NOT ({_TEST}) AS is_train, {_TEST} AS is_test FROM e")),
     "split_groups": (groups, with_e(
@@ -132,28 +134,23 @@ SELECT part, count(*) AS n, count(*) - count(grp) AS unknown FROM p GROUP BY 1
     "stored_split": (stored, with_e(f"""
 SELECT feedstock, feedstock <> 'AF' AND NOT ({_TEST}) AS is_train, feedstock <> 'AF' AND {_TEST} AS is_test,
  count(*) AS n, sum(b_y) AS total FROM e GROUP BY 1, 2, 3""")),
-    "paper_holdout": (papers, with_e("""
-, l AS (SELECT least(case trim(doi) when '10.1/S7' then 'paper A' when '10.1/S40' then 'paper C'
+    "paper_holdout": (papers, with_e(f"""
+, l AS (SELECT least(case {_ID} when '10.1/s7' then 'paper A' when '10.1/s40' then 'paper C'
  when '10.1/none' then 'paper D' end, case trim(title) when 'Study 12' then 'paper B'
  when 'Study 0' then 'paper C' when 'No such study' then 'paper D' end) AS label FROM e)
 SELECT label, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT p.label, 0 FROM (VALUES
- ('paper A', '10.1/S7', ''), ('paper B', '', 'Study 12'), ('paper C', '10.1/S40', 'Study 0'),
+ ('paper A', '10.1/s7', ''), ('paper B', '', 'Study 12'), ('paper C', '10.1/s40', 'Study 0'),
  ('paper D', '10.1/none', 'No such study')) p(label, id, title)
- WHERE NOT EXISTS (SELECT 1 FROM e WHERE trim(e.doi) = p.id OR trim(e.title) = p.title)""")),
-    "partial_holdout": (partial, with_e(", w(doi, feedstock, temp_c, t_min, tag) AS (VALUES " + ", ".join(
-        f"('{d}', '{f}', {t}, {m}, '{g}')" for d, f, t, m, g in CONDITIONS) + """)
-SELECT row_id, tag FROM e JOIN w ON trim(e.doi) = w.doi AND e.feedstock = w.feedstock
- AND e.temp_c = w.temp_c AND e.t_min = w.t_min WHERE hhv_biooil IS NOT NULL""")),
+ WHERE NOT EXISTS (SELECT 1 FROM e WHERE {_ID} = p.id OR trim(e.title) = p.title)""")),
+    "partial_holdout": (partial, with_e(", w(id, feedstock, temp_c, t_min, tag, required) AS (VALUES " + ", ".join(
+        f"('{d}', '{f}', {t}, {m}, '{g}', {r})" for d, f, t, m, g, r in CONDITIONS) + f""")
+SELECT row_id, tag FROM e JOIN w ON {_ID} = w.id AND e.feedstock = w.feedstock
+ AND e.temp_c = w.temp_c AND e.t_min = w.t_min WHERE ic IS NOT NULL OR NOT required""")),
     "kfold": (folds, with_e(f"SELECT row_id, cast({bucket_sql('row_id')} % 10 as integer) AS fold FROM e")),
-    "group_kfold": (paper_folds, f"""WITH RECURSIVE g AS (SELECT concat(case l_suppkey % 3 when 0
- then 'https://doi.org/' when 1 then ' DOI:' else '' end, '10.1/S', cast(l_suppkey as string)) AS doi,
- count(*) AS n FROM lineitem GROUP BY 1),
-o AS (SELECT *, row_number() OVER (ORDER BY n DESC, doi) AS rn FROM g),
-r AS (SELECT cast(0 as bigint) AS rn, cast([{_K}] as bigint[]) AS loads, cast(0 as bigint) AS pick
- UNION ALL SELECT o.rn, list_transform(r.loads, lambda x, i: case when i = list_position(r.loads,
- list_min(r.loads)) then x + o.n else x end), cast(list_position(r.loads, list_min(r.loads)) as bigint)
- FROM r JOIN o ON o.rn = r.rn + 1)
-SELECT doi, cast(pick - 1 as integer) AS fold, n FROM r JOIN o USING (rn)"""),
+    "group_kfold": (paper_folds, with_e("""
+, g AS (SELECT doi, count(*) AS n FROM e GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, doi) - 1 AS r FROM g)
+SELECT doi, cast(case when (r // 10) % 2 = 0 then r % 10 else 9 - r % 10 end as integer) AS fold, n FROM r""")),
     "subsample": (sample, with_e("SELECT row_id, b_y FROM e ORDER BY md5('42|' || row_id), row_id LIMIT 800")),
     "permutation": (permuted, with_e(
         "SELECT row_id, cast(row_number() OVER (PARTITION BY doi, t_min ORDER BY md5('42|' || row_id), row_id) "

@@ -19,8 +19,6 @@ from uqframe.operators.columns import catalyst_columns, complete_rows, present,
 from uqframe.operators.quantiles import long_values, quantile_columns
 from uqframe.operators.skew import attach, with_facts
 
-MAX_CATEGORIES = 1000
-
 
 def add_interactions(df: DataFrame, elemental: bool = True,
                      pairs: list[tuple[str, str, str]] | None = None
@@ -38,11 +36,9 @@ def add_interactions(df: DataFrame, elemental: bool = True,
     return (df.withColumns(new) if new else df), list(new)
 
 
-def learn_domain(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted distinct labels of a categorical column; refuses an unbounded domain."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} labels")
+def learn_domain(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct labels of a categorical column, each of which becomes a column."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 
@@ -260,11 +256,16 @@ def power_profile(df: DataFrame, column: str, candidates: list[float]) -> DataFr
     return sums.select("lam", "n", F.when(F.col("v") > 0, fit).alias("loglik"))
 
 
+#: Powers beyond this overflow on ordinary values.
+WIDEST_POWER = 100.0
+
+
 def fit_power(df: DataFrame, column: str, low: float = -4.0, high: float = 6.0,
               points: int = 21, rounds: int = 4) -> float:
-    """The power of largest likelihood, by narrowing a grid; each round is one pass."""
-    best = 1.0
-    for _ in range(rounds):
+    """The power of largest likelihood, by narrowing a grid; each round is one pass. While
+    the best point lies on the grid's edge, the grid moves and grows instead."""
+    best, done = 1.0, 0
+    while done < rounds:
         step = (high - low) / (points - 1)
         grid = [low + i * step for i in range(points)]
         top = power_profile(df, column, grid).where(F.col("loglik").isNotNull()).orderBy(
@@ -272,6 +273,10 @@ def fit_power(df: DataFrame, column: str, low: float = -4.0, high: float = 6.0,
         if not top:
             return 1.0
         best = top[0]["lam"]
+        if done == 0 and best in (grid[0], grid[-1]) and abs(best) < WIDEST_POWER:
+            low, high = best - (high - low), best + (high - low)
+            continue
+        done += 1
         low, high = best - step, best + step
     return best
 

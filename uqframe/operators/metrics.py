@@ -104,14 +104,16 @@ def parity_table(df: DataFrame, min_rows: int = 3) -> DataFrame:
 
 
 def interval_report(df: DataFrame, by: list[str] = ("target",), min_rows: int = 3) -> DataFrame:
-    """(by…, n, r2, rmse, coverage, mean_width, max_width); too few rows give nulls."""
-    rows = df.where(F.col("y").isNotNull())
-    enough = F.count("*") >= min_rows
+    """(by…, n, r2, rmse, coverage, mean_width, max_width); too few rows give nulls, and a
+    group without any truth has n = 0."""
+    known = F.col("y").isNotNull()
+    rows = df.withColumns({c: F.when(known, F.col(c)) for c in ("p", "lo", "hi")})
+    enough = F.count("y") >= min_rows
     width = F.col("hi") - F.col("lo")
-    measures = {"r2": r2(), "rmse": rmse(), "coverage": F.avg(covered()),
+    measures = {"r2": r2(), "rmse": rmse(), "coverage": F.avg(F.when(known, covered())),
                 "mean_width": F.avg(width), "max_width": F.max(width)}
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), *[F.when(enough, m).alias(k) for k, m in measures.items()])
+        F.count("y").alias("n"), *[F.when(enough, m).alias(k) for k, m in measures.items()])
 
 
 def group_report(df: DataFrame, group: str, min_rows: int = 5) -> DataFrame:
@@ -297,8 +299,10 @@ def derived_ratio_metrics(df: DataFrame, weights: dict[str, float] = ATOMIC_WEIG
         pairs.append(F.struct(F.lit(ratio).alias("target"), truth.cast("double").alias("y"),
                               guess.cast("double").alias("p")))
     rows = df.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
-    return finite_pairs(rows).groupBy("target").agg(
-        F.count("*").alias("n"), r2().alias("r2"), rmse().alias("rmse"))
+    usable = finite(F.col("y")).isNotNull() & finite(F.col("p")).isNotNull()
+    rows = rows.withColumns({c: F.when(usable, F.col(c)) for c in ("y", "p")})
+    return rows.groupBy("target").agg(
+        F.count("y").alias("n"), r2().alias("r2"), rmse().alias("rmse"))
 
 
 def residual_interval(df: DataFrame, calibration: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -443,10 +447,12 @@ def overview_stats(df: DataFrame, panels: list[tuple]) -> DataFrame:
         F.max(F.when(F.col("prob") == F.col("p_hi"), F.col("q"))).alias("high"))
     values = long_values(df, columns, []).join(F.broadcast(bounds), "variable")  # few rows
     values = values.where(F.col("value").between(F.col("low"), F.col("high")))
-    return values.groupBy("panel", "variable").agg(
+    out = values.groupBy("panel", "variable").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
+    every = plan.select("panel", "variable").distinct()  # a column without values has n = 0
+    return every.join(out, ["panel", "variable"], "left").fillna({"n": 0})
 
 
 def long_targets(df: DataFrame, targets: list[str], keep: list[str] = (),

@@ -103,6 +103,8 @@ def physics_evaluation(df: DataFrame, targets: list[str], raw: str = "p_", phys:
           for k, m in (("r2_raw", r2()), ("rmse_raw", rmse()))],
         *[F.when((F.count("*") >= min_rows) & (n_q >= min_rows), F.round(m, 3)).alias(k)
           for k, m in (("r2_phys", r2("yq", "q")), ("rmse_phys", rmse("yq", "q")))])
+    names = df.sparkSession.createDataFrame([(t,) for t in targets], "target string")
+    out = names.join(out, "target", "left").fillna({"n": 0})  # one row per target
     errors = {}
     for label, prefix in (("closure_raw", raw), ("closure_phys", phys)):
         errors[label] = row_sum([prefix + c for c in YIELDS if prefix + c in df.columns]) - 100.0

@@ -3,14 +3,13 @@ partitioning, order or retries."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uqframe.functions.exprs import hash_bucket, to_number
 from uqframe.operators.quantiles import nth_smallest
 from uqframe.operators.skew import attach, fits
+from uqframe.sources.session import cut_lineage
 
 HASH_RANGE = float(1 << 32)
 UNKNOWN_GROUP = "UNKNOWN_DOI"
@@ -106,15 +105,21 @@ def tag_conditions(df: DataFrame, wanted: DataFrame, keys: list[str],
                    require: Column | None = None) -> DataFrame:
     """Add ``tag`` from a list of (keys…, tag) conditions; number keys are read leniently.
 
-    The last tag in sort order wins when several conditions meet one row.
+    The last tag in sort order wins when several conditions meet one row. Rows must pass
+    ``require`` where the condition says so in a boolean column ``required``; without that
+    column every condition does.
     """
     read = {c: (to_number(c) if dict(wanted.dtypes)[c] == "double" else F.trim(F.col(c)))
             for c in keys}
     out = df.withColumns({f"_c_{c}": e for c, e in read.items()})
+    required = F.col("required") if "required" in wanted.columns else F.lit(True)
+    tags = {"_tag": F.max("tag"), "_free": F.max(F.when(~required, F.col("tag")))}
     facts = wanted.groupBy(*[F.col(c).alias(f"_c_{c}") for c in keys]).agg(
-        F.max("tag").alias("tag"))
+        *[v.alias(n) for n, v in tags.items()])
     out = attach(out, facts, [f"_c_{c}" for c in keys], bounded=fits(wanted)).drop(*[f"_c_{c}" for c in keys])
-    return out if require is None else out.withColumn("tag", F.when(require, F.col("tag")))
+    passed = F.lit(True) if require is None else F.coalesce(require, F.lit(False))
+    out = out.withColumn("tag", F.when(passed, F.col("_tag")).otherwise(F.col("_free")))
+    return out.drop("_tag", "_free")
 
 
 def row_folds(df: DataFrame, k: int = 10, key: str = "row_id", seed: str = "42") -> DataFrame:
@@ -127,48 +132,34 @@ def fold_count(n_groups: int, k: int = 10) -> int:
     return max(3, min(k, n_groups))
 
 
-def assign_heavy(sizes: list[tuple[str, int]], k: int) -> tuple[dict[str, int], list[int]]:
-    """Largest group first, always into the lightest fold; ties go to the lower fold."""
-    load = [0] * k
-    fold = {}
-    for name, size in sorted(sizes, key=lambda r: (-r[1], r[0])):
-        best = min(range(k), key=lambda i: (load[i], i))
-        fold[name] = best
-        load[best] += size
-    return fold, load
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``rank``, the place from 0 of each row in a total order: sorted by ranges, counted
+    per range, and numbered within. No task sees more than a range."""
+    place = F.monotonically_increasing_id()  # the range's number above, the row's below
+    rows = cut_lineage(df.orderBy(*order).withColumn("_at", place), "ranked")
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rows = rows.join(F.broadcast(starts), "_range")  # one row per range
+    rank = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("rank", rank).drop("_at", "_range", "_start")
 
 
-def group_folds(df: DataFrame, group: str = "doi", k: int = 10, seed: str = "42",
-                detail: int = 50) -> DataFrame:
+def group_folds(df: DataFrame, group: str = "doi", k: int = 10) -> DataFrame:
     """Fold per row such that a group is never split and folds have similar sizes.
 
-    Groups holding at least 1/(k·detail) of the rows are placed one by one, largest
-    first; there can be at most k·detail of them, whatever the data size. All smaller
-    groups are spread by hash over what each fold has left.
+    Groups are ranked by size, largest first, ties by key, and dealt to the folds to and fro:
+    0 … k-1, k-1 … 0, and so on. The same rule holds for any number of groups.
     """
-    g = F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN_GROUP))
-    keyed = df.withColumn("_g", g)
-    sizes = keyed.groupBy("_g").agg(F.count("*").alias("size"))
-    totals = sizes.agg(F.sum("size").alias("rows"), F.count("*").alias("groups")).collect()[0]
-    k = fold_count(totals["groups"], k)
-    floor = max(1, math.ceil(totals["rows"] / (k * detail)))
-    heavy = [(r["_g"], r["size"]) for r in sizes.where(F.col("size") >= floor).collect()]
-    placed, load = assign_heavy(heavy, k)
-    room = [max(0.0, totals["rows"] / k - v) for v in load]
-    total_room = sum(room) or 1.0
-    edge, place = 0.0, F.lit(k - 1)
-    u = hash_bucket("_g", seed=seed).cast("double") / F.lit(HASH_RANGE)
-    choice = None
-    for i in range(k):
-        edge += room[i] / total_room
-        test = u < F.lit(edge)
-        choice = F.when(test, F.lit(i)) if choice is None else choice.when(test, F.lit(i))
-    place = choice.otherwise(F.lit(max(range(k), key=lambda i: room[i])))
-    if not placed:
-        return keyed.withColumn("fold", place.cast("int")).drop("_g")
-    known = df.sparkSession.createDataFrame(list(placed.items()), "_g string, _fold int")
-    out = attach(keyed, known, ["_g"], bounded=True)
-    return out.withColumn("fold", F.coalesce("_fold", place).cast("int")).drop("_g", "_fold")
+    keyed = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN_GROUP)))
+    sizes = cut_lineage(keyed.groupBy("_g").agg(F.count("*").alias("_size")), "groups")
+    k = fold_count(sizes.count(), k)
+    places = ranked(sizes, F.desc("_size"), F.col("_g"))
+    step, turn = F.col("rank") % k, F.floor(F.col("rank") / k) % 2
+    fold = F.when(turn == 0, step).otherwise(F.lit(k - 1) - step).cast("int")
+    folds = places.select("_g", fold.alias("fold"))
+    return attach(keyed, folds, ["_g"]).drop("_g")
 
 
 def subsample(df: DataFrame, n: int, key: str = "row_id", seed: str = "42") -> DataFrame:

@@ -20,15 +20,21 @@ def surface_report(df: DataFrame, target: str, prediction: str, x: str = "temp_c
                    digits: int | None = None) -> DataFrame:
     """One row per report block: ranges, optimum, fit metrics, tags, units and label.
 
-    Blocks whose surface cannot be fitted drop out of the report. Only the report's blocks
-    reach the grid; rows are restricted to them by a semi-join before fitting.
+    The ``k`` best candidates are tried; blocks whose surface cannot be fitted drop out, and
+    the first ``max_blocks`` of the others make the report. Rows are restricted to the
+    candidates by a semi-join before fitting.
     """
     if candidates is None:
         candidates = block_candidates(df, target, x, y, min_points=min_points)
-    chosen = F.broadcast(top_blocks(candidates, target, min(k, max_blocks)).select(*BLOCK))  # k rows
+    best = top_blocks(candidates, target, k)
+    chosen = F.broadcast(best.select(*BLOCK))  # k rows
     rows = df.join(chosen, BLOCK, "left_semi")
     points = block_rows(rows, x, y, target, prediction)
-    out = surface_optimum(fit_surfaces(points), target, n_grid, digits=digits)
+    fitted = fit_surfaces(points)
+    if max_blocks < k:
+        fits = best.join(fitted.select(*BLOCK), BLOCK, "left_semi")
+        fitted = fitted.join(F.broadcast(top_blocks(fits, target, max_blocks).select(*BLOCK)), BLOCK, "left_semi")
+    out = surface_optimum(fitted, target, n_grid, digits=digits)
     out = attach(out, block_metrics(points).drop("n"), BLOCK, bounded=True)
     out = attach(out, block_tags(rows), BLOCK, bounded=True)
     units, label = target_label(target)

@@ -33,7 +33,6 @@ BOOSTED_MODES = ("xgb", "xgb_cal")
 KINDS = ("rf", "dt", "lr")
 LOADERS = {"rf": RandomForestRegressionModel, "gbt": GBTRegressionModel,
            "dt": DecisionTreeRegressionModel, "lr": LinearRegressionModel}
-WIDE = 4096
 
 
 def allowed(params: dict[str, Any], estimator: Any) -> dict[str, Any]:
@@ -112,9 +111,6 @@ def fit_model(df: DataFrame, target: str, features: list[str], mode: str = "rf",
         transform = choose_transform(rows, target)
     rows = with_vector(rows, features, mode).withColumn("label", transform.apply(F.col(target)))
     est = make_estimator(mode, params).setLabelCol("label").setFeaturesCol("features")
-    if mode == "lr":
-        n_slots = len(features) * (len(features) + 1) // 2
-        est = est.setSolver("l-bfgs" if n_slots > WIDE else "auto")
     if weight and weight in df.columns:
         est = est.setWeightCol(weight)
     fitted = Fitted(est.fit(rows), list(features), mode, transform)
@@ -134,13 +130,12 @@ def out_of_fold(df: DataFrame, target: str, features: list[str], k: int, mode: s
                 params: dict[str, Any] | None = None, keep: list[str] = ("row_id",),
                 weight: str | None = "weight") -> DataFrame:
     """(keep…, target, model, fold, y, p): every row scored by a model that never saw its
-    fold. The label transform is learned once."""
+    fold, and whose label transform was learned without it."""
     rows = rows_for_target(df, target, features)
-    transform = TargetTransform("identity") if mode in ("dt", "lr") else choose_transform(rows, target)
     out = None
     for i in range(k):
         fitted = fit_model(rows.where(F.col("fold") != i), target, features, mode, params,
-                           weight, transform)
+                           weight)
         part = fitted.score(rows.where(F.col("fold") == i), "p").select(
             *keep, F.lit(target).alias("target"), F.lit(mode).alias("model"), "fold",
             F.col(target).alias("y"), "p")
@@ -184,7 +179,7 @@ def train_targets(df: DataFrame, targets: list[str], features: list[str], k: int
     nor depend on executors that may be lost.
     """
     spark = df.sparkSession
-    frame = cut_lineage(sample_weights(df, strategy), "training")
+    frame = cut_lineage(df, "training")
     present = [t for t in targets if t in df.columns]
     usable = frame.dropna(subset=features).agg(
         *[F.count(to_number(t)).alias(t) for t in present]).collect()[0].asDict() if present else {}
@@ -194,9 +189,11 @@ def train_targets(df: DataFrame, targets: list[str], features: list[str], k: int
         rf = merged(forest or {}, (best or {}).get(target))
         setups = {"rf": (mode, rf, features), "dt": ("dt", tree, features),
                   "lr": ("lr", None, linear_features or features)}
-        parts = [out_of_fold(frame, target, cols, k, m, p, keep)
+        own = sample_weights(rows_for_target(frame, target, features), strategy)
+        own = cut_lineage(own, "target")  # weights are those of the target's usable rows
+        parts = [out_of_fold(own, target, cols, k, m, p, keep)
                  for m, p, cols in setups.values()]
-        models = {kind: fit_model(frame, target, cols, m, p)
+        models = {kind: fit_model(own, target, cols, m, p)
                   for kind, (m, p, cols) in setups.items()} if final_fit else {}
         return target, parts, models
 
