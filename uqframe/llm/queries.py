@@ -16,6 +16,36 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("clean_text", "row")
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
+w AS (SELECT *, {_WORDS.format('text')} AS ws, string_split(text, chr(10)) AS lines FROM d),
+t AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS key
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS c FROM t) WHERE c > 1) GROUP BY 1),
+l AS (SELECT doc_id, source, text, unnest(lines) AS line FROM w),
+n AS (SELECT doc_id, source, text, line, {_WORDS.format(_LOWER.format('line'))} AS lw FROM l),
+k AS (SELECT *, regexp_replace(array_to_string(lw, ' '), '[0-9]', '0', 'g') AS norm FROM n
+  WHERE len(lw) > 0),
+h AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+c AS (SELECT source, norm, min(doc_id) AS first_id FROM k JOIN h USING (source) GROUP BY 1, 2
+  HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.05 * max(texts)),
+o AS (SELECT doc_id, sum(len(lw)) AS lost FROM k JOIN c USING (source, norm)
+  WHERE doc_id <> first_id GROUP BY 1),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM k GROUP BY 1),
+f AS (SELECT doc_id, len(ws) AS n_words,
+  coalesce(cast(list_sum(list_transform(ws, lambda x: length(x))) AS bigint), 0) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  cast(coalesce(lost, 0) AS bigint) AS n_lost
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN o USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost <= 0.5 * n_words AS kept
+FROM f"""
+
+
 def tokenizer_file(name: str) -> str:
     """A file of the installed public vocabularies."""
     import public_tokenizers
@@ -92,15 +122,32 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS item
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (item)
+  WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM b JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
+g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+c AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT g.y, c.root FROM c JOIN g ON g.x = c.node),
+m AS (SELECT node AS doc_id, min(root) AS component_id FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM m LEFT JOIN z USING (doc_id)"""
+
+
 QUERIES = {
-    "op1_quality_rules": (op1_quality_rules, None),
+    "op1_quality_rules": (op1_quality_rules, QUALITY_SQL),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
     "op3_packing": (op3_packing, None),
     "op4_warc": (op4_warc, WARC_SQL),
-    "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
-    "op9_near_duplicates": (op9_near_duplicates, None),
-    "op10_neighbours": (op10_neighbours, None),
     "op5_suffix_tree": (op5_suffix_tree, None),
     "op6_toxicity": (op6_toxicity, None),
     "op7_secrets": (op7_secrets, None),
+    "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
+    "op9_near_duplicates": (op9_near_duplicates, NEAR_SQL),
+    "op10_neighbours": (op10_neighbours, None),
 }
