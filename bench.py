@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from uqframe.catalogue import registered
+from uqframe.sources.session import drop_scratch
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -39,6 +41,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("uqframe-bench")
              .config("spark.sql.shuffle.partitions", CPUS)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="uqframe-bench-"))
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
@@ -49,9 +52,11 @@ def main() -> None:
         query = queries[name][0]
         if name in SLOW:
             times[name] = round(run(spark, query), 3)
+            drop_scratch(spark)
             continue
         run(spark, query)
         times[name] = round(statistics.median(run(spark, query) for _ in range(RUNS)), 3)
+        drop_scratch(spark)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": SF_DIR.rstrip("/").split("sf")[-1]}))
     spark.stop()

@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -85,6 +86,7 @@ def session(cpus: str = "8"):
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("uqframe")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="uqframe-tests-"))
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("OFF")

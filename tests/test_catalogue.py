@@ -19,7 +19,8 @@ def test_equals_sql(spark, name):
     assert compare(spark, name, query, sql, SF) == ""
 
 
-@pytest.mark.parametrize("name", ["forest_intervals", "quantile_forest", "local_conformal_experiments"])
+@pytest.mark.parametrize("name", ["forest_intervals", "quantile_forest", "local_conformal_experiments",
+                                  "interval_modes"])
 def test_intervals_cover(spark, name):
     """Nominal 90 % intervals on held-out rows."""
     for r in QUERIES[name][0](spark, SF).collect():

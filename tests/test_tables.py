@@ -71,3 +71,24 @@ def test_raw_projections(spark):
 @pytest.mark.parametrize("raw,name", [("T", "temp_c"), ("t", "t_min"), ("H/C_biooil", "h_c_biooil"), (" DOI ", "doi")])
 def test_names(raw, name):
     assert tables.column_name(raw) == name
+
+
+def test_scratch_folders_have_an_owner(spark):
+    from uqframe.sources import session
+
+    df = session.cut_lineage(spark.range(5), "owned")
+    path = session._MADE[-1]
+    kept, session._MADE[:] = session._MADE[:-1], [path]
+    assert df.count() == 5 and session.drop_scratch(spark) == 1
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    session._MADE[:] = kept
+
+
+def test_unknown_interval_mode(spark):
+    import pytest
+
+    from uqframe.plans.scoring import prediction_interval
+
+    with pytest.raises(ValueError):
+        prediction_interval(spark.range(1), "nearest")

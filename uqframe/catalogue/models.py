@@ -9,6 +9,7 @@ from uqframe.catalogue.experiments import experiments, measured
 from uqframe.operators import encode, intervals, metrics, splits
 from uqframe.plans import scoring, training
 from uqframe.sources.session import cut_lineage, new_path
+from uqframe.sources.tables import read_calibration, write_calibration
 
 NUMERIC = ["temp_c", "t_min", "o_c", "h_c", "c", "h", "o"]
 FOREST = {"numTrees": 20, "maxDepth": 8, "seed": 42}
@@ -134,7 +135,30 @@ def permutation(spark, sf):
     return scoring.permutation_importance(test, fitted, "b_y", ["temp_c", "t_min", "o_c"])
 
 
+def interval_modes(spark, sf):
+    """Out-of-fold residuals with their vectors, stored, read back, and
+    the intervals of every mode on the test part, reported per mode."""
+    target, near = "hhv_biooil", ["temp_c", "t_min", "o_c", "h_c"]
+    fitted, folder, train, test = saved_forest(spark, sf, target)
+    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in near])
+    folds = splits.row_folds(train, 3).withColumn("vec", vec)
+    oof = training.out_of_fold(folds, target, fitted.features, 3, params=SMALL, keep=["row_id", "vec"])
+    path = new_path(spark, "calibration")
+    write_calibration(oof, path)
+    calibration = read_calibration(spark, path, target)
+    scored = cut_lineage(fitted.score(test, "p").withColumns({"qid": F.col("row_id"), "vec": vec}), "scored")
+    out = None
+    for mode in scoring.INTERVAL_MODES:
+        rows = scoring.prediction_interval(scored, mode, calibration=calibration, fitted=fitted,
+                                           model_path=training.model_path(folder, target, "rf"))
+        rows = rows.select(F.col(target).alias("y"), "p", "lo", "hi").withColumn("mode", F.lit(mode))
+        part = metrics.interval_report(rows, ["mode"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "interval_modes": (interval_modes, None),
     "train_cv_metrics": (cv, None),
     "train_group_cv": (group_cv, None),
     "tune_search": (tuned, None),

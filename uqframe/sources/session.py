@@ -26,9 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the folders that this process has made with ``new_path``, once no result that
+    reads them is needed any more; returns how many there were."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/uqframe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/uqframe/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
