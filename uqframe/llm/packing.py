@@ -22,6 +22,8 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +35,33 @@ GRID = 8
 DEPTH = 3
 #: Greedy combinations may leave this many steps of the grid empty.
 SLACK = 3
-MOST_UNITS = 600_000
+MOST_WORDS, MOST_UNITS, LONGEST_KEPT = 300_000, 500_000, 40
 #: Latin words and ASCII signs where what follows cannot belong to the same token; else words.
 UNITS = re.compile(rb"(?:[0-9a-z]|\xc3[\x80-\xbf])++(?![\x80-\xff'])"
                    rb"|[!-&(-/:-@[-`{-~]++(?![\x80-\xff'])|[^ \t-\r]+")
 
 
+class Remembered(dict):
+    """Takes short keys until it is full, and starts anew after many that found no room: common
+    words come early and stay, and forgetting only costs time."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.turned_away = most, 0
+
+    def keep(self, new: dict) -> None:
+        if len(self) >= self.most:
+            self.turned_away += len(new)
+            if self.turned_away < 4 * self.most:
+                return
+            self.clear()
+            self.turned_away = 0
+        self.update((k, v) for k, v in new.items() if len(k) <= LONGEST_KEPT)
+
+
 class Tokens:
     """Ids of whole texts from a tokenizers file whose tokens never hold blanks and never join
-    letters with signs; ids of units are remembered."""
+    letters with signs. Ids of words are remembered, and those of their units."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,27 +70,50 @@ class Tokens:
         self.tool = Tokenizer.from_str(definition)
         special = [re.escape(t["content"].encode()) for t in json.loads(definition)["added_tokens"]]
         self.special = re.compile(b"|".join(special)) if special else None
-        self.seen: dict[bytes, bytes] = {}
+        self.words, self.units = Remembered(MOST_WORDS), Remembered(MOST_UNITS)
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tool.encode_batch_fast([t.decode("utf-8", "replace") for t in texts],
                                             add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        units = [None if self.special and self.special.search(t) else UNITS.findall(t.lower())
-                 for t in texts]
-        seen = self.seen
-        new = {u for us in units if us for u in us if u not in seen}
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (binary, null: empty). Texts are split and their different words
+        found in Arrow; only these are looked up one by one."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+        flat = words.values.view(pa.binary()).dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        known = list(map(self.words.get, distinct))
+        new = {w for w, i in zip(distinct, known) if i is None}
         if new:
-            if len(seen) + len(new) > MOST_UNITS:
-                seen.clear()
-                new = {u for us in units if us for u in us}
-            new = list(new)
-            seen.update(zip(new, self._ids(new)))
-        return [self._ids([t])[0] if us is None else b"".join([seen[u] for u in us])
-                for t, us in zip(texts, units)]
+            fresh = self._word_ids(new)
+            known = [fresh[w] if i is None else i for w, i in zip(distinct, known)]
+            self.words.keep(fresh)
+        ids = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array([len(i) // 4 for i in known], np.int64)
+        first = np.cumsum(sizes) - sizes
+        place = flat.indices.to_numpy()
+        size = sizes[place]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        every = ids[np.arange(total) + np.repeat(first[place] - (ends - size), size)]
+        edges = np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        out = [every[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        if self.special:
+            for k, text in enumerate(texts.to_pylist()):
+                if text and self.special.search(text):
+                    out[k] = np.frombuffer(self._ids([text])[0], "<u4")
+        return out
+
+    def _word_ids(self, words: set[bytes]) -> dict[bytes, bytes]:
+        units = {w: UNITS.findall(w) for w in words}
+        seen = self.units
+        new = list({u for us in units.values() for u in us if u not in seen})
+        fresh = dict(zip(new, self._ids(new))) if new else {}
+        out = {w: b"".join([fresh[u] if u in fresh else seen[u] for u in us])
+               for w, us in units.items()}
+        seen.keep(fresh)
+        return out
 
 
 _TOKENS: dict[int, Tokens] = {}
@@ -103,31 +146,31 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, most_steps: int = 20
     """Active sets: let the column with the steepest descent in, solve, and step back to the
     first column that would turn negative until none does."""
     x = np.zeros(a.shape[1])
-    active = np.zeros(a.shape[1], bool)
+    active: list[int] = []
     tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(most_steps):
-        slope = a.T @ (b - a @ x)
+        slope = a.T @ (b - a[:, active] @ x[active])
         slope[active] = -np.inf
         best = int(slope.argmax())
         if slope[best] <= tolerance:
             break
-        active[best] = True
-        while True:
-            on = np.flatnonzero(active)
-            solved = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+        active.append(best)
+        while active:
+            own = a[:, active]
+            squares = own.T @ own
+            squares[np.diag_indices_from(squares)] += 1e-12
+            solved = np.linalg.solve(squares, own.T @ b)
             if (solved > 0).all():
-                x[:] = 0
-                x[on] = solved
-                break
-            low = solved <= 0
-            ratio = x[on][low] / np.maximum(x[on][low] - solved[low], 1e-300)
-            x[on] += ratio.min(initial=1.0) * (solved - x[on])
-            active[on[low & (x[on] <= tolerance)]] = False
-            if best == on[-1] and not active.any():
-                break
-            x[~active] = 0
-            if not active.any():
+                x[active] = solved
                 break
+            now, low = x[active], solved <= 0
+            ratio = now[low] / np.maximum(now[low] - solved[low], 1e-300)
+            x[active] = np.maximum(0, now + ratio.min() * (solved - now))
+            out = [k for k, l in zip(active, low) if l and x[k] <= tolerance]
+            x[out] = 0
+            active = [k for k in active if k not in out]
+            if best in out:  # it cannot get in
+                return x
     return x
 
 
@@ -220,8 +263,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
         if len(_COUNTERS) > 1:  # of tasks that are over
             for old in [k for k in _COUNTERS if _COUNTERS[k] is not ranks]:
                 del _COUNTERS[old]
-        for ids in tokens(definition).encode([t or b"" for t in part["text"].to_pylist()]):
-            ids += end
+        for ids in tokens(definition).encode(part["text"]):
+            ids = ids.tobytes() + end
             n = len(ids) // 4
             full = n // window
             out["n"].append(n)
@@ -240,7 +283,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     read = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     tails = cut_lineage(map_rows(
         read, tokenize, "doc_id long, part int, n long, blocks array<long>, full long, "
-                        "ids binary, steps int, rank long"), "tokens")
+                        "ids binary, steps int, rank long", 1024), "tokens")
     counts = tails.groupBy("part", F.col("steps").alias("k")).agg(F.count("*").alias("n"))
     fulls = tails.groupBy("part").agg(F.sum(F.size("blocks")).alias("n"))
     counts = counts.where("k > 0").unionByName(fulls.withColumn("k", F.lit(0)))
