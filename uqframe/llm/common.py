@@ -55,7 +55,7 @@ def hash64(data: bytes, seed: int = 0) -> int:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to ``most`` words (forgetting only costs time)."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000):
+    def __init__(self, seed: int = 0, most: int = 100_000):
         super().__init__()
         self.seed, self.most = seed, most
 

@@ -38,7 +38,7 @@ BYTES_PER_WORD = 5
 class Digests(dict):
     """Word -> 128-bit hash, remembered up to ``most`` words (forgetting only costs time)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
