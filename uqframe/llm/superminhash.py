@@ -182,12 +182,15 @@ def tile_links(ids: list[int], labels: list[int], sets: list[np.ndarray], percen
 
 
 def check_tiles(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside buckets (bucket, doc_id, label). Tiles of a bucket meet
-    pairwise; two tiles that hold one component only are left out."""
+    """Links between components inside buckets (bucket, doc_id, label). A tile travels as one
+    row; tiles of a bucket meet pairwise, but for two that hold one component only."""
     place = Window.partitionBy("bucket").orderBy("label", "doc_id")
     rows = buckets.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE))
-    spans = rows.groupBy("bucket", "tile").agg(F.min("label").alias("low"),
-                                               F.max("label").alias("high"))
+    tiles = rows.join(sets, "doc_id").groupBy("bucket", "tile").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.collect_list(F.struct("doc_id", "label", "items")).alias("docs"))
+    tiles = cut_lineage(tiles, "tiles")
+    spans = tiles.select("bucket", "tile", "low", "high")
     x, y = spans.alias("x"), spans.alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tile") <= F.col("y.tile")))
     pairs = pairs.where(~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high"))
@@ -195,14 +198,15 @@ def check_tiles(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.col("x.bucket").alias("bucket"), F.col("x.tile").alias("i"),
                          F.col("y.tile").alias("j"))
     sides = pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    full = sides.join(rows, ["bucket", "tile"]).join(sets, "doc_id")
+    full = sides.join(tiles.select("bucket", "tile", "docs"), ["bucket", "tile"])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tile", "ascending"), ("doc_id", "ascending")])
-        ids, labels, tiles = (table[c].to_pylist() for c in ("doc_id", "label", "tile"))
-        items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
-        split = tiles.index(tiles[-1])
-        links = list(tile_links(ids, labels, items, percent, split))
+        parts = [sorted(docs, key=lambda d: d["doc_id"])
+                 for docs in table.sort_by("tile")["docs"].to_pylist()]
+        docs = [d for part in parts for d in part]
+        links = list(tile_links([d["doc_id"] for d in docs], [d["label"] for d in docs],
+                                [np.frombuffer(d["items"], np.uint64) for d in docs], percent,
+                                len(parts[0]) if len(parts) > 1 else 0))
         return pa.Table.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]},
                                     schema=EDGES)
 
