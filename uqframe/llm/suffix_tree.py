@@ -2,13 +2,19 @@
 
 A text is its words (ASCII capitals made small) with one space between and an end symbol. In the
 texts that are learned from, every byte is counted after the ``depth`` bytes before it; counts of
-shorter contexts are sums of these. A context is kept when it makes up at least ``least_share``
-of all positions (so there are at most ``depth / least_share``) and when it passes a divergence
-test: its count times the divergence of its next-symbol distribution from that of its longest
-kept suffix exceeds ``least_gain`` for each of its symbols. At most ``most_states`` are kept, those with
-the largest gains. Distributions are smoothed with those of the suffix by the number of different
-symbols, down to a uniform one over 257 symbols. The longest kept suffix of what came before
-scores each byte; an automaton over all kept contexts finds it, many stretches of text at a time.
+shorter contexts are sums of these. A context is kept when it was seen at least ``least_count``
+times (or makes up ``least_share`` of all positions, where that is given) and when it passes a
+divergence test: its count times the divergence of its next-symbol distribution from that of its
+longest kept suffix exceeds ``least_gain`` for each of its symbols. Distributions are smoothed with
+those of the suffix by the number of different symbols, down to a uniform one over 257 symbols. The
+longest kept suffix of what came before scores each byte.
+
+The tree grows with the texts and is never in one place. Its head, the contexts of at most ``HEAD``
+bytes, is bounded by the alphabet and goes to every task. All longer contexts with the same nearest
+``HEAD + 1`` bytes lie in one shard, which so has all their suffixes. Blocks of texts send the
+shards their different grams (a symbol and the ``depth`` bytes before it) with the counts of the
+texts to learn from, and get the logarithms in the same order. A shard keeps the questions on disk
+and the different grams in memory.
 
 The base score counts whole words and ends. Blocks of texts ask shards of the vocabulary for the
 counts of their words, as sorted arrays of 128-bit hashes, and get the counts in the same order.
@@ -20,8 +26,10 @@ as likely as any other; extra columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uqframe.llm.blocks import total_bytes, with_answers, write_blocks
-from uqframe.llm.common import arrow_schema
+from uqframe.llm.common import arrow_schema, mix
 from uqframe.llm.substrings import BYTES_PER_WORD, SHARD_WORDS, Digests
 from uqframe.sources.session import cut_lineage
 
 END = 10  # no word holds a line end
+HEAD = 2
+GRAM_SHARD_BYTES = 16 << 20  # of text, for each shard of the tree
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 5
-    least_share: float = 1e-6
+    depth: int = 7  # a gram is a number of 64 bits
+    least_count: int = 10
+    least_share: float | None = None  # instead of least_count
     least_gain: float = 2.0
-    most_states: int = 65_536
+    most_states: int | None = None  # of an automaton; no limit unless a caller wants one
     modulus: int = 7
     remainder: int = 2
     most_grams: int = 1_500_000  # that a task gathers before it hands them on
@@ -77,7 +88,7 @@ class Stream:
 
 
 class Tree:
-    """The kept contexts as an automaton: ``step[state, class]`` and ``logs[state, class]``."""
+    """Kept contexts as an automaton: ``step[state, class]`` and ``logs[state, class]``."""
 
     def __init__(self, levels: list[tuple], total: float, s: Settings):
         """``levels[k]``: symbols with k bytes before them and their counts (sorted), of
@@ -103,7 +114,8 @@ class Tree:
             chosen.append((keys, counts, contexts, of, share, sums + kinds, gain, kept))
             lower = (keys, np.where(kept[of], p, before))
         gains = np.concatenate([c[6][c[7]] for c in chosen[1:]]) if len(chosen) > 1 else np.zeros(0)
-        least = np.sort(gains)[-s.most_states] if len(gains) > s.most_states else -np.inf
+        cut = s.most_states is not None and len(gains) > s.most_states
+        least = np.sort(gains)[-s.most_states] if cut else -np.inf
         self._automaton([(c[0], c[1], c[2], c[3], c[4], c[5], c[7] & (c[6] >= least) if k else c[7])
                          for k, c in enumerate(chosen)])
 
@@ -140,31 +152,15 @@ class Tree:
                 at = first[k] + np.searchsorted(own, contexts[of[use]])
                 column = self.classes[(keys[use] & np.uint64(255)).astype(np.int64)]
                 probability[at, column] += counts[use] / size[of[use]]
-        self.logs = np.log10(probability).astype(np.float32)
-
-    def score(self, stream: Stream, stretch: int = 512) -> np.ndarray:
-        """log10 probability of each text. Stretches run side by side, each after the ``depth``
-        bytes before it, which is all that a state remembers."""
-        n, d = len(stream.data), self.depth
-        if not len(stream.sizes):
-            return np.zeros(0)
-        lanes = -(-n // stretch)
-        data = np.full(d + lanes * stretch, END, np.uint8)
-        data[d:d + n] = stream.data
-        width = self.step.shape[1]
-        seen = self.classes[np.lib.stride_tricks.as_strided(
-            data, (d + stretch, lanes), (1, stretch))]
-        state = np.zeros(lanes, np.int64)
-        step, logs = self.step.ravel(), self.logs.ravel()
-        out = np.empty((stretch, lanes), np.float32)
-        for t in range(d + stretch):
-            at = state * width + seen[t]
-            if t >= d:
-                np.take(logs, at, out=out[t - d])
-            state = np.take(step, at).astype(np.int64)
-        flat = out.T.reshape(-1)[:n].astype(np.float64)
-        flat[~stream.real] = 0
-        return np.add.reduceat(flat, stream.starts)
+        self.logs = np.log10(probability)
+
+    def probability(self, keys: np.ndarray) -> np.ndarray:
+        """Of the symbol of each key (see ``_keys``) after its nearest ``depth`` bytes."""
+        state = np.zeros(len(keys), np.int64)
+        for k in range(self.depth, 0, -1):
+            byte = ((keys >> np.uint64(64 - 8 * k)) & np.uint64(255)).astype(np.int64)
+            state = self.step[state, self.classes[byte]].astype(np.int64)
+        return 10 ** self.logs[state, self.classes[(keys & np.uint64(255)).astype(np.int64)]]
 
 
 def _gram_counts(blocks: DataFrame, s: Settings) -> DataFrame:
@@ -203,24 +199,138 @@ def _gram_counts(blocks: DataFrame, s: Settings) -> DataFrame:
     return cut_lineage(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def learn(blocks: DataFrame, s: Settings) -> Tree:
-    level = _gram_counts(blocks, s)
-    total = float(level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+def learn_head(blocks: DataFrame, s: Settings) -> tuple[Tree, float]:
+    """The contexts of at most ``HEAD`` bytes, and the count from which contexts are frequent."""
+    s = replace(s, depth=min(HEAD, s.depth))
+    found = _gram_counts(blocks, s).toArrow()  # at most 256 ** (HEAD + 1) rows
+    grams, n = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy().astype(float)
+    total = float(n.sum())
+    least = s.least_count if s.least_share is None else s.least_share * total
     levels = []
-    for k in range(s.depth, -1, -1):
-        mask = F.lit((1 << 8 * (k + 1)) - 1)
-        if k < s.depth:
-            level = level.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-            level = cut_lineage(level, "grams")
-        context = F.shiftright("gram", 8)
-        frequent = level.groupBy(context.alias("context")).agg(F.sum("n").alias("m"))
-        frequent = frequent.where(F.col("m") >= s.least_share * total)  # at most 1 / least_share
-        chosen = level.withColumn("context", context).join(frequent, "context", "left_semi")
-        found = chosen.select("gram", "n").toArrow()
-        keys, counts = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy().astype(float)
-        order = np.argsort(keys)
-        levels.append((keys[order], counts[order]))
-    return Tree(levels[::-1], total, s)
+    for k in range(s.depth + 1):
+        keys, of = np.unique(grams & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        counts = np.bincount(of, n, len(keys))
+        _, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+        frequent = (np.bincount(of, counts) >= least)[of] if k else np.ones(len(keys), bool)
+        levels.append((keys[frequent], counts[frequent]))
+    return Tree(levels, total, s), least
+
+
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """Grams with the bytes before the symbol from the nearest on, then the symbol."""
+    turned = grams.byteswap()
+    return (turned << np.uint64(8)) | (turned >> np.uint64(56))
+
+
+def _mask(k: int) -> np.uint64:
+    """What a key has of the nearest ``k`` bytes and the symbol."""
+    return np.uint64(((1 << 64) - (1 << 64 - 8 * k)) | 255)
+
+
+def _probabilities(keys: np.ndarray, counts: np.ndarray, head: Tree, least: float,
+                   s: Settings) -> np.ndarray:
+    """Of different keys, sorted, that hold all grams learned with the nearest bytes they have."""
+    lower, p = keys, None
+    for k in range(head.depth, s.depth + 1):
+        grams, of = np.unique(keys & _mask(k), return_inverse=True)
+        if p is None:
+            lower, p = grams, head.probability(grams)
+            continue
+        n = np.bincount(of, counts, len(grams))
+        before = p[np.searchsorted(lower, grams & _mask(k - 1))]
+        context = grams >> np.uint64(64 - 8 * k)
+        group = np.cumsum(np.append(False, context[1:] != context[:-1]))
+        sums, kinds = np.bincount(group, n), np.bincount(group, n > 0)
+        size = np.maximum(sums + kinds, 1)
+        own = n / size[group] + (kinds / size)[group] * before
+        gain = np.bincount(group, n * np.log(np.where(n > 0, own / before, 1)))
+        kept = (sums >= least) & (gain > s.least_gain * kinds)
+        lower, p = grams, np.where(kept[group], own, before)
+    return p
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Byte by byte of all values, which compresses sorted and small numbers well."""
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * width, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().view(kind).ravel()
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and how often each occurs, by one plain sort."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
+def _by_shard(distinct: np.ndarray, shards: int, s: Settings):
+    """The order by shard in which different keys are asked for, and where each shard's begin."""
+    near = distinct >> np.uint64(64 - 8 * min(HEAD + 1, s.depth))
+    shard = (mix(near) % np.uint64(shards)).astype(np.uint32)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+ASK_GRAMS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()),
+                       ("grams", pa.binary()), ("counts", pa.binary())])
+GRAM_LOGS = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("bits", pa.binary())])
+
+
+def gram_logs(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
+    """(block, shard, bits): log10 probabilities of the grams that the block asked the shard for."""
+    head, least = learn_head(blocks, s)
+
+    def ask(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, ids, texts = (batch[c][at].as_py() for c in ("block", "doc_ids", "texts"))
+                stream = Stream([t.lower().split() for t in texts], s.depth)
+                train = np.repeat([not held_out(d, s) for d in ids], stream.sizes)
+                keys = _keys(stream.grams())
+                distinct, _ = _counted(keys)
+                order, edges = _by_shard(distinct, shards, s)
+                learned, n = _counted(keys[train])
+                counts = np.zeros(len(distinct), np.uint32)
+                counts[np.searchsorted(distinct, learned)] = n
+                rows = [{"shard": k, "block": block, "n": int(b - a),
+                         "grams": _pack(distinct[order[a:b]]), "counts": _pack(counts[order[a:b]])}
+                        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                yield pa.RecordBatch.from_pylist(rows, schema=ASK_GRAMS)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, parts, fresh, merged = [], [], 0, 0
+        with tempfile.TemporaryFile() as kept:
+
+            def merge():
+                keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                return keys, np.bincount(of, np.concatenate([n for _, n in parts]), len(keys))
+
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    shard, block, n, grams, counts = (batch[c][row].as_py() for c in ASK_GRAMS.names)
+                    asked.append((shard, block, n, kept.write(grams)))
+                    parts.append((_unpack(grams, np.uint64, n), _unpack(counts, np.uint32, n)))
+                    fresh += n
+                    if fresh > max(s.most_grams, merged):
+                        parts = [merge()]
+                        fresh, merged = 0, len(parts[0][0])
+            keys, counts = merge()
+            parts.clear()
+            logs = np.log10(_probabilities(keys, counts, head, least, s)).astype(np.float32)
+            kept.seek(0)
+            for shard, block, n, size in asked:
+                found = logs[np.searchsorted(keys, _unpack(kept.read(size), np.uint64, n))]
+                yield pa.RecordBatch.from_pylist(
+                    [{"block": block, "shard": shard, "bits": _pack(found)}], schema=GRAM_LOGS)
+
+    questions = blocks.select("block", "doc_ids", "texts").mapInArrow(
+        ask, "shard long, block long, n long, grams binary, counts binary")
+    return questions.groupBy("shard").applyInArrow(answer, "block long, shard long, bits binary")
 
 
 ASK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()),
@@ -250,7 +360,8 @@ def _add_counts(table: pa.Table) -> pa.Table:
     shard's tokens and different words as well."""
     words = [np.frombuffer(w, np.uint64).reshape(-1, 2) for w in table["words"].to_pylist()]
     every = np.concatenate(words)
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()])
+    counts = np.concatenate([_unpack(c, np.uint32, len(w))
+                             for c, w in zip(table["counts"].to_pylist(), words)])
     order = np.lexsort((every[:, 1], every[:, 0]))
     new = np.ones(len(order), bool)
     new[1:] = (every[order][1:] != every[order][:-1]).any(axis=1)
@@ -262,7 +373,7 @@ def _add_counts(table: pa.Table) -> pa.Table:
     first = [True] + [False] * (len(words) - 1)
     return pa.Table.from_pydict(
         {"block": table["block"], "shard": table["shard"],
-         "bits": [back[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])],
+         "bits": [_pack(back[a:b]) for a, b in zip(edges[:-1], edges[1:])],
          "tokens": [int(sums.sum()) if f else 0 for f in first],
          "kinds": [int((sums > 0).sum()) if f else 0 for f in first]}, schema=ANSWER)
 
@@ -286,7 +397,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 train = np.repeat([not held_out(d, s) for d in ids], [len(w) for w in words])
                 counts = np.bincount(place[train], minlength=len(distinct)).astype(np.uint32)
                 rows = [{"shard": k, "block": block, "words": distinct[a:b].tobytes(),
-                         "counts": counts[a:b].tobytes()}
+                         "counts": _pack(counts[a:b])}
                         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
                 yield pa.RecordBatch.from_pylist(rows, schema=ASK)
 
@@ -294,7 +405,10 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         ask, "shard long, block long, words binary, counts binary")
     answers = cut_lineage(asked.groupBy("shard").applyInArrow(
         _add_counts, "block long, shard long, bits binary, tokens long, kinds long"), "counts")
-    tree = learn(blocks, s)
+    gram_shards = 1
+    while gram_shards * GRAM_SHARD_BYTES < size:
+        gram_shards *= 2
+    logs = gram_logs(blocks, gram_shards, s)
     texts = F.col("doc_ids")
     learned = F.size(F.filter(texts, lambda d: d.isNotNull() & (
         F.crc32(d.cast("string").cast("binary")) % s.modulus != s.remainder)))
@@ -306,25 +420,37 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def finish(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, texts, found = (batch[c][at].as_py() for c in ("doc_ids", "texts", "counts"))
+                ids, texts, found, scored = (
+                    batch[c][at].as_py() for c in ("doc_ids", "texts", "counts", "logs"))
                 words = [t.lower().split() for t in texts]
                 distinct, place, edges = _vocabulary(words, shards)
                 known = np.zeros(len(distinct), np.uint64)
                 for a in found or ():
-                    known[edges[a["shard"]]:edges[a["shard"] + 1]] = np.frombuffer(a["bits"], np.uint64)
+                    first, last = edges[a["shard"]:a["shard"] + 2]
+                    known[first:last] = _unpack(a["bits"], np.uint64, last - first)
                 n = np.array([len(w) for w in words])
                 own = np.repeat(np.arange(len(n)), n)
                 floor = np.log10(total + kinds + 1)
-                logs = np.log10(known.astype(float) + 1)[place] - floor
-                base = np.bincount(own, logs, len(n)) + (np.log10(ends + 1) - floor)
+                word_logs = np.log10(known.astype(float) + 1)[place] - floor
+                base = np.bincount(own, word_logs, len(n)) + (np.log10(ends + 1) - floor)
                 hits = np.bincount(own, known[place] > 0, len(n)).astype(np.int64) + (ends > 0)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": ids, "held_out": [held_out(d, s) for d in ids], "n_tokens": n + 1,
                      "n_known": hits, "train_tokens": [total] * len(ids), "base_score": base,
-                     "score": tree.score(Stream(words, s.depth))}, schema=kind)
-
-    full = with_answers(blocks, answers, "counts")
-    return full.select("doc_ids", "texts", "counts").mapInArrow(finish, SCORED)
+                     "score": text_logs(words, scored)}, schema=kind)
+
+    def text_logs(words, scored):
+        stream = Stream(words, s.depth)
+        distinct, place = np.unique(_keys(stream.grams()), return_inverse=True)
+        order, edges = _by_shard(distinct, gram_shards, s)
+        values = np.empty(len(distinct))
+        for a in scored:
+            mine = order[edges[a["shard"]]:edges[a["shard"] + 1]]
+            values[mine] = _unpack(a["bits"], np.float32, len(mine))
+        return np.add.reduceat(values[place], np.cumsum(stream.sizes) - stream.sizes)
+
+    full = with_answers(with_answers(blocks, answers, "counts"), logs, "logs")
+    return full.select("doc_ids", "texts", "counts", "logs").mapInArrow(finish, SCORED)
 
 
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
