@@ -5,8 +5,9 @@ inner product is the smallest distance. Centroids are fitted on at most ``most_s
 (those whose ids have the smallest hashes) by k-means that charges a full cluster, and stay in
 memory with a graph of their neighbours, which a beam searches. Every vector goes to the list of
 its nearest centroid and, when it lies near a boundary, to up to ``copies`` lists whose centroids
-are at most ``1 + spread`` times as far. A query looks into the lists whose centroids are at most
-``1 + reach`` times as far as the nearest, at most ``probes`` of them. Lists are dealt out in
+are at most ``1 + spread`` times as far. A query looks into as many of the lists nearest to it as
+``calibrated`` queries need for ``least_recall`` of their exact neighbours, which are found by
+comparing these queries with all vectors; nothing else bounds that number. Lists are dealt out in
 parts of bounded size, each compared with bounded blocks of queries, and every part hands on its
 ``k`` nearest only. Exact copies of a vector are reduced to the ``k + 1`` smallest ids first, of
 which no query can need more.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from uqframe.llm.common import arrow_schema, slices
+from uqframe.llm.common import slices
 from uqframe.sources.session import cut_lineage
 
 
@@ -36,10 +37,10 @@ class Settings:
     list_rows: int = 128
     copies: int = 4
     spread: float = 0.10
-    probes: int = 64
+    calibrated: int = 256
+    least_recall: float = 0.99
     least_probes: int = 8
-    reach: float = 0.60
-    beam: int = 64
+    beam: int = 64  # of the search for the lists of a vector, at most ``copies``
     links: int = 24
     part_rows: int = 4096
     block_queries: int = 1024
@@ -114,6 +115,10 @@ class Graph:
         c = self.centers[ids]
         return own + (c * c).sum(axis=2) - 2 * np.einsum("qd,qnd->qn", q, c)
 
+    def nearest(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Ids of the ``k`` nearest centroids of each row, nearest first, compared with all."""
+        return np.argsort(self._far(q, None), axis=1, kind="stable")[:, :k]
+
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of about the ``k`` nearest centroids of each row, nearest first;
         missing ones have an infinite distance."""
@@ -144,26 +149,85 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
 
 
-def _lists(rows: DataFrame, graph: Graph, norm: float, most: int, ratio: float, least: int,
-           query: bool) -> DataFrame:
-    """Rows of (vec_id, v) once per list: those within ``1 + ratio`` times the least distance,
-    and the ``least`` nearest."""
-    schema = "vec_id long, v array<double>, list long"
-    kind = arrow_schema(schema)
+LISTED = "vec_id long, v array<double>, list long"
+LISTED_KIND = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("list", pa.int64())])
+
+
+def _listed(part: pa.RecordBatch, row: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    chosen = part.take(pa.array(row))
+    return pa.RecordBatch.from_arrays(
+        [chosen["vec_id"], chosen["v"].cast(LISTED_KIND.field("v").type), pa.array(ids, pa.int64())],
+        schema=LISTED_KIND)
 
+
+def _posted(rows: DataFrame, graph: Graph, norm: float, s: Settings) -> DataFrame:
+    """Rows of (vec_id, v) once per list: the nearest, and those within ``1 + spread`` times its
+    distance."""
     def run(batches):
         for part in slices(batches, 512):
-            x = matrix(part["v"])
-            wide = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32) if query else lengthen(x, norm)
-            ids, far = graph.search(wide, most)
-            fits = np.isfinite(far) & (far <= (1 + ratio) * far[:, :1] + 1e-6)
-            fits[:, :least] = np.isfinite(far[:, :least])
+            ids, far = graph.search(lengthen(matrix(part["v"]), norm), s.copies)
+            fits = np.isfinite(far) & (far <= (1 + s.spread) * far[:, :1] + 1e-6)
+            fits[:, :1] = np.isfinite(far[:, :1])
             row, col = np.nonzero(fits)
-            chosen = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [chosen["vec_id"], chosen["v"], pa.array(ids[row, col], pa.int64())], schema=kind)
+            yield _listed(part, row, ids[row, col])
+
+    return rows.select("vec_id", "v").mapInArrow(run, LISTED)
 
-    return rows.select("vec_id", "v").mapInArrow(run, schema)
+
+def _widened(q: np.ndarray) -> np.ndarray:
+    """Queries have nothing in the component that lengthens vectors."""
+    return np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+
+
+def _asked(rows: DataFrame, graph: Graph, probes: int) -> DataFrame:
+    """Queries of (vec_id, v) once per list: the ``probes`` nearest."""
+    def run(batches):
+        for part in slices(batches, 512):
+            ids = graph.nearest(_widened(matrix(part["v"])), probes)
+            yield _listed(part, np.repeat(np.arange(len(ids)), ids.shape[1]), ids.ravel())
+
+    return rows.select("vec_id", "v").mapInArrow(run, LISTED)
+
+
+def _probes(first: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph,
+            s: Settings) -> int:
+    """How many lists a bounded set of queries needs to meet ``least_recall`` of its neighbours."""
+    mixed = F.xxhash64("vec_id", F.lit(1))
+    some = queries.select("vec_id", "v").orderBy(mixed, "vec_id").limit(s.calibrated).toArrow()
+    if not some.num_rows:
+        return s.least_probes
+    q_ids, q = some["vec_id"].to_numpy(), matrix(some["v"].combine_chunks())
+
+    def run(batches):
+        best = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for part in slices(batches, 4096):
+            ids = part["vec_id"].to_numpy()
+            score = q @ matrix(part["v"]).T
+            score[q_ids[:, None] == ids[None, :]] = -np.inf
+            score = np.hstack([best[0], score])
+            found = np.hstack([best[1], np.tile(ids, (len(q), 1))])
+            top = np.argsort(-score, axis=1, kind="stable")[:, :s.k]
+            best = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
+        row, col = np.nonzero(np.isfinite(best[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(best[1][row, col]),
+                                          pa.array(best[0][row, col])], schema=FOUND)
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    exact = first.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+    exact = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k)
+    held = posted.select("vec_id", "list").join(F.broadcast(exact), "vec_id")  # k rows a query
+    held = held.select("query_id", "vec_id", "list").toArrow()
+    if not held.num_rows:
+        return s.least_probes
+    place = np.argsort(graph.nearest(_widened(q), len(graph.centers)), axis=1)
+    row = np.searchsorted(q_ids, held["query_id"].to_numpy(), sorter=np.argsort(q_ids))
+    row = np.argsort(q_ids)[row]
+    pairs = np.column_stack([held["query_id"].to_numpy(), held["vec_id"].to_numpy()])
+    _, of = np.unique(pairs, axis=0, return_inverse=True)
+    needed = np.full(of.max() + 1, len(graph.centers))
+    np.minimum.at(needed, of.ravel(), place[row, held["list"].to_numpy()] + 1)
+    enough = np.sort(needed)[int(np.ceil(s.least_recall * len(needed))) - 1]
+    return max(s.least_probes, int(enough))
 
 
 def nearest_in(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
@@ -205,8 +269,9 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings = Settings()
 
     place = Window.partitionBy("v").orderBy("vec_id")
     first = rows.withColumn("copy", F.row_number().over(place)).where(F.col("copy") <= s.k + 1)
-    posted = cut_lineage(_lists(first, graph, norm, s.copies, s.spread, 1, False), "postings")
-    asked = _lists(rows.where(is_query), graph, norm, s.probes, s.reach, s.least_probes, True)
+    posted = cut_lineage(_posted(first, graph, norm, s), "postings")
+    queries = rows.where(is_query)
+    asked = _asked(queries, graph, _probes(first, queries, posted, graph, s))
     near = cut_lineage(_compared(posted, cut_lineage(asked, "probes"), s), "nearest")
     # Lists of very near centroids may hold less than k: such queries look into all lists.
     enough = near.groupBy("query_id").agg(F.count("*").alias("found"))
