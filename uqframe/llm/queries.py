@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uqframe.llm import (
-    credentials, packing, pieces, postings, quality, substrings, suffix_tree,
+    collocations, credentials, packing, pieces, postings, quality, substrings, suffix_tree,
     superminhash, toxicity, warc,
 )
 from uqframe.llm.common import table
@@ -139,6 +139,32 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM m LEFT JOIN z USING (doc_id)"""
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, ws[i:i + m - 1] AS ws FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+  FROM (SELECT lang, ws, unnest([1, 2, 3, 4]) AS m FROM w) WHERE len(ws) >= m)),
+f AS (SELECT lang, ws, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 30),
+n AS (SELECT lang, cast(sum(len(ws)) AS bigint) AS n FROM w GROUP BY 1),
+e AS (SELECT lang, ws[:-2] AS part, f FROM f WHERE len(ws) > 2 UNION ALL SELECT lang, ws[2:], f FROM f WHERE len(ws) > 2),
+x AS (SELECT lang, part AS ws, max(f) AS longer FROM e GROUP BY 1, 2),
+c AS (SELECT f.lang, f.ws, f.f AS a, unnest(range(1, len(f.ws))) AS k FROM f LEFT JOIN x USING (lang, ws)
+  WHERE len(f.ws) > 1 AND NOT 100 * coalesce(longer, 0)::HUGEINT >= 80 * f.f::HUGEINT),
+s AS (SELECT c.*, l.f AS l, r.f AS r, cast((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS bigint) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:]),
+b AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM s
+  QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, QUALITY_SQL),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
@@ -150,4 +176,5 @@ QUERIES = {
     "op8_substrings": (op8_substrings, SUBSTRINGS_SQL),
     "op9_near_duplicates": (op9_near_duplicates, NEAR_SQL),
     "op10_neighbours": (op10_neighbours, None),
+    "op11_collocations": (op11_collocations, COLLOCATIONS_SQL),
 }
