@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uqframe.llm import (
-    collocations, credentials, packing, pieces, postings, quality, substrings, suffix_tree,
+    collocations, credentials, multi_index, packing, pieces, postings, quality, substrings, suffix_tree,
     superminhash, toxicity, warc,
 )
 from uqframe.llm.common import table
@@ -165,6 +165,30 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 JOIN n USING (lang) WHERE rank <= 2000"""
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = multi_index.whole_vectors(table(spark, sf_dir, "embeddings"), label)
+    return multi_index.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+HARD_NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+    cast(list_dot_product(a.v::double[], b.v::double[]) AS bigint) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, cast(rank AS int) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, QUALITY_SQL),
     "op2_sentence_pieces": (op2_sentence_pieces, None),
@@ -177,4 +201,5 @@ QUERIES = {
     "op9_near_duplicates": (op9_near_duplicates, NEAR_SQL),
     "op10_neighbours": (op10_neighbours, None),
     "op11_collocations": (op11_collocations, COLLOCATIONS_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, HARD_NEGATIVES_SQL),
 }
