@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uqframe.llm import (
-    collocations, credentials, multi_index, packing, pieces, postings, quality, substrings, suffix_tree,
+    collocations, credentials, multi_index, packing, page_differences, pieces, postings, quality, substrings, suffix_tree,
     superminhash, toxicity, warc,
 )
 from uqframe.llm.common import table
@@ -165,6 +165,10 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 JOIN n USING (lang) WHERE rank <= 2000"""
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_differences.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = multi_index.whole_vectors(table(spark, sf_dir, "embeddings"), label)
@@ -201,5 +205,6 @@ QUERIES = {
     "op9_near_duplicates": (op9_near_duplicates, NEAR_SQL),
     "op10_neighbours": (op10_neighbours, None),
     "op11_collocations": (op11_collocations, COLLOCATIONS_SQL),
+    "op12_main_text": (op12_main_text, None),
     "op13_hard_negatives": (op13_hard_negatives, HARD_NEGATIVES_SQL),
 }
