@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from uqframe.operators import metrics, splits
 from uqframe.operators.quantiles import quantile_columns
-from uqframe.operators.skew import attach, with_facts
+from uqframe.operators.skew import attach, copied, heavy_keys, with_facts
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def hot(spark):
         "id", key.alias("k"), (F.col("id") % 977).cast("double").alias("v"))
 
 
-@pytest.mark.parametrize("options", [{}, {"salts": 1}, {"bounded": True}, {"salt_by": ["id"]}])
+@pytest.mark.parametrize("options", [{}, {"salted": False}, {"bounded": True}, {"salt_by": ["id"]}])
 def test_attach_keeps_all_rows(spark, hot, options):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -42,6 +42,25 @@ def test_hot_key_is_spread(spark, hot):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_only_heavy_keys_are_copied(spark, hot):
+    """A key of a third of the rows is cut by its share; without one no row is copied."""
+    facts = hot.groupBy("k").agg(F.count("*").alias("n"))
+    third = spark.range(30000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    counts = third.groupBy("k").agg(F.count("*").alias("n"))
+    heavy = heavy_keys(counts, ["k"], "n")
+    assert [(r["k"], r["_parts"]) for r in heavy.collect()] == [(-1, 3)]
+    assert copied(counts, heavy, ["k"]).count() == 20001 + 2
+    assert heavy_keys(counts, ["k"], "n", share=1.0).count() == 0
+    even = spark.range(30000).select((F.col("id") % 500).alias("k"))
+    sizes = even.groupBy("k").agg(F.count("*").alias("n"))
+    assert copied(sizes, heavy_keys(sizes, ["k"], "n"), ["k"]).count() == 500
+    for rows in (third, even):
+        small = rows.groupBy("k").agg(F.count("*").alias("n"))
+        out = attach(rows.repartition(5), small, ["k"], "inner")
+        assert out.count() == 30000 and out.where("n is null").count() == 0
+    assert attach(hot.where("k is null"), facts, ["k"]).where("n is null").count() == 0
+
+
 def test_quantiles_and_folds_of_a_hot_key(hot):
     got = {r["k"]: r["m"] for r in quantile_columns(hot, ["v"], {"m": 0.37}, ["k"]).collect()}
     values = [float(i % 977) for i in range(0, 20000, 2)]

@@ -111,6 +111,29 @@ def test_leaf_quantiles(spark):
     assert (got["lo"], got["mid"], got["hi"]) == pytest.approx((1.0, 3.0, 9.0))
 
 
+def test_leaf_quantiles_do_not_depend_on_bins(spark):
+    """Over 1,000 different targets, a leaf with most rows, ties, and probabilities 0 and 1."""
+    r = np.random.default_rng(3)
+    n, probs = 1500, {"zero": 0.0, "lo": 0.05, "mid": 0.5, "hi": 0.95, "one": 1.0}
+    y = np.where(np.arange(n) % 10 == 0, 5.0, r.normal(size=n).round(6))
+    leaf = np.column_stack([np.where(r.random(n) < 0.7, 0, r.integers(1, 4, n)), r.integers(0, 9, n)])
+    train = spark.createDataFrame([(t, int(leaf[i, t]), float(y[i])) for i in range(n) for t in range(2)],
+                                  "tree int, leaf int, y double")
+    asked = [(0, 0), (1, 3), (3, 8), (0, 7)]
+    queries = spark.createDataFrame([(f"q{k}", t, q[t]) for k, q in enumerate(asked) for t in range(2)],
+                                    "qid string, tree int, leaf int")
+    for bins in (2, 7, 100, 2000):
+        got = {g["qid"]: g for g in intervals.leaf_quantiles(train, queries, probs, bins).collect()}
+        for k, q in enumerate(asked):
+            w = sum((leaf[:, t] == q[t]) / (leaf[:, t] == q[t]).sum() for t in range(2))
+            order = np.argsort(y, kind="stable")
+            order = order[w[order] > 0]
+            up = np.cumsum(w[order])
+            want = [y[order][np.argmax(up >= p * up[-1] - 1e-9)] for p in probs.values()]
+            assert [got[f"q{k}"][name] for name in probs] == want
+    assert intervals.leaf_quantiles(train, queries.limit(0), probs).count() == 0
+
+
 def test_physics_scoring(rows):
     models = {t: training.fit_model(rows, t, X, "rf", FOREST) for t in ("b_y", "hhv_biooil")}
     scored, table = scoring.physics_scoring(rows, models, ["b_y", "hhv_biooil", "c_y"])

@@ -99,7 +99,7 @@ def forest_intervals(spark, sf):
 
 def quantile_forest(spark, sf):
     """Quantiles of the training targets that share leaves."""
-    fitted, _, train, test = saved_forest(spark, sf, "b_y")
+    fitted, _, train, test = saved_forest(spark, sf)
     scorer = fitted.model.copy().setLeafCol("leaves").setPredictionCol("raw")
 
     def leaves(df, *keep):
@@ -108,10 +108,11 @@ def quantile_forest(spark, sf):
         return out.withColumn("leaf", F.col("leaf").cast("int"))
 
     out = intervals.leaf_quantiles(
-        leaves(train, F.col("b_y").alias("y")), leaves(test, F.col("row_id").alias("qid")),
+        leaves(train, F.col("hhv_biooil").alias("y")), leaves(test, F.col("row_id").alias("qid")),
         {"lo": 0.05, "mid": 0.5, "hi": 0.95})
-    rows = out.join(test.select(F.col("row_id").alias("qid"), F.col("b_y").alias("y")), "qid")
-    return metrics.interval_report(rows.withColumnsRenamed({"mid": "p"}).withColumn("target", F.lit("b_y")))
+    rows = out.join(test.select(F.col("row_id").alias("qid"), F.col("hhv_biooil").alias("y")), "qid")
+    rows = rows.withColumnsRenamed({"mid": "p"})
+    return metrics.interval_report(rows.withColumn("target", F.lit("hhv_biooil")))
 
 
 def physics(spark, sf):

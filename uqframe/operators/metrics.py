@@ -240,7 +240,7 @@ def box_stats(df: DataFrame, values: list[str], by: list[str] = ()) -> DataFrame
         F.stddev_samp("value").alias("std_samp"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     q = quantile_columns(df, values, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by)
-    out = attach(q, moments, [*by, "variable"], "inner", salts=1)
+    out = attach(q, moments, [*by, "variable"], "inner", salted=False)
     return out.withColumns({"low": F.col("mean") - 1.5 * F.col("std_samp"),
                             "high": F.col("mean") + 1.5 * F.col("std_samp")})
 

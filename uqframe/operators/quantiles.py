@@ -40,6 +40,7 @@ def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], bounded:
     at the whole rank below it and the one above it: (keys…, slot, pos, n, v_lo, v_hi)."""
     coded = long.withColumn("code", value_code(F.col("value")))
     hist = coded.groupBy(*keys, "code").agg(F.count("*").alias("cnt"))
+    sizes = hist.withColumnRenamed("cnt", "n")
     running = Window.partitionBy(*keys).orderBy("code")
     whole = Window.partitionBy(*keys)
     hist = hist.select(
@@ -61,11 +62,11 @@ def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], bounded:
         | ((F.col("r_hi") >= F.col("before")) & (F.col("r_hi") < end))
     )
     cells = hit.select(*keys, "code").distinct()
-    inside = attach(coded, cells, [*keys, "code"], "inner", bounded=bounded)
+    inside = attach(coded, cells, [*keys, "code"], "inner", bounded=bounded, counts=sizes)
     inside = inside.groupBy(*keys, "code", "value").agg(F.count("*").alias("c"))
     cell_order = Window.partitionBy(*keys, "code").orderBy("value")
     inside = inside.withColumn("upto", F.sum("c").over(cell_order))
-    found = attach(inside, hit.drop("cnt"), [*keys, "code"], "inner", bounded=bounded, salts=1)
+    found = attach(inside, hit.drop("cnt"), [*keys, "code"], "inner", bounded=bounded, salted=False)
     first = F.col("before") + F.col("upto") - F.col("c")
     last = F.col("before") + F.col("upto")
     return found.groupBy(*keys, "slot").agg(

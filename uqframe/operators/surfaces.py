@@ -219,7 +219,7 @@ def surface_optimum(surfaces: DataFrame, target: str, n_grid: int = 80, padding:
         F.min("z").alias("z_min"), F.max("z").alias("z_max"),
         F.max_by(F.struct("x", "y", "z"), place).alias("o"))
     out = attach(surfaces.drop("x_mid", "y_mid", "x_scale", "y_scale",
-                               *[f"b{i}" for i in range(6)]), best, block, "inner", salts=1)
+                               *[f"b{i}" for i in range(6)]), best, block, "inner", salted=False)
     shares = []
     for c in ("x", "y"):
         span = F.col(f"{c}_max") - F.col(f"{c}_min")
