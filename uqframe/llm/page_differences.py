@@ -312,7 +312,7 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.regexp_replace(rest, r"^[^/?]*", "").alias("path"), _key(html, F.col("url")).alias("page_key"))
     marks = cut_lineage(_marks(read, s), "marks")
     marked = attach(read.select("page_id", "url", "html", "page_key"), marks, ["page_key"],
-                    bounded=fits(marks), salts=1)
+                    bounded=fits(marks), salted=False)
     kind = arrow_schema(TEXTS)
 
     def finish(batches):
