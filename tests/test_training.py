@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from uqframe.operators import intervals, splits
 from uqframe.operators.encode import TargetTransform
-from uqframe.plans import scoring, training
+from uqframe.plans import fold_table, linear, scoring, training
 from uqframe.sources.session import cut_lineage, new_path
 
 X = ["a", "b"]
@@ -154,3 +154,60 @@ def test_predict_with_physics(rows):
     for r in got:  # rows without all yields are not scaled
         assert r["b_y_phys"] == r["b_y"] and r["c_y_phys"] is None
         assert r["e_b_phys"] == pytest.approx(r["b_y"] / 100 * r["hhv_biooil"])
+
+
+@pytest.mark.parametrize("pairwise", [False, True])
+def test_linear_folds_equal_fits(spark, rows, pairwise):
+    """Sums of all folds but one against a fit per fold by the library, and against numpy with
+    terms that depend on each other."""
+    df = splits.row_folds(rows, 3).withColumn("y", F.col("a") * F.col("b") / 5 + F.pmod(F.hash("row_id"), F.lit(7)))
+    df = df.withColumn("weight", 1 + F.pmod(F.hash("row_id"), F.lit(3))).withColumn("hole", F.when(F.col("b") > 1, F.col("a")))
+    got = linear.linear_out_of_fold(df, ["y", "hole"], X, pairwise, ["row_id"], "weight")
+    assert got.where("target = 'hole'").count() == df.where("b > 1").count()
+    mine = {r["row_id"]: r["p"] for r in got.where("target = 'y'").collect()}
+    for i in range(3):
+        train = df.where(F.col("fold") != i)
+        if pairwise:
+            fitted = training.fit_model(train, "y", X, "lr")
+            part = fitted.score(df.where(F.col("fold") == i), "p").select("row_id", "p").collect()
+            want = {r["row_id"]: r["p"] for r in part}
+        else:
+            pdf, rest = train.toPandas(), df.where(F.col("fold") == i).toPandas()
+            z, w = np.column_stack([np.ones(len(pdf)), pdf[X]]), np.sqrt(pdf["weight"].to_numpy(float))
+            beta = np.linalg.lstsq(z * w[:, None], pdf["y"] * w, rcond=None)[0]
+            want = dict(zip(rest["row_id"], np.column_stack([np.ones(len(rest)), rest[X]]) @ beta))
+        assert want and all(mine[k] == pytest.approx(v, abs=1e-8) for k, v in want.items())
+    twice = df.withColumns({"c": F.col("a") * 2, "one": F.lit(3.0)})
+    again = linear.linear_out_of_fold(twice, ["y"], [*X, "c", "one"], False, ["row_id"], "weight")
+    if not pairwise:
+        assert all(r["p"] == pytest.approx(mine[r["row_id"]], abs=1e-6) for r in again.collect())
+
+
+def test_fold_table_is_safe_to_repeat(spark, rows):
+    folder = new_path(spark, "folds")
+    df = rows.select("row_id", F.col("b_y").alias("y"), F.col("a").alias("p"))
+    schema = fold_table.table_schema(rows, ["row_id"])
+    assert fold_table.read_folds(spark, folder, schema).count() == 0
+    for target, fold in (("x/y: 1=%", 0), ("x/y: 1=%", 1), ("x/y: 1=%", 1), ("b_y", 1)):
+        fold_table.write_fold(df.limit(10 + fold), folder, target, "rf", fold)
+    back = fold_table.read_folds(spark, folder, schema)
+    got = {(r["target"], r["fold"]): r["n"] for r in back.groupBy("target", "fold").agg(F.count("*").alias("n")).collect()}
+    assert got == {("x/y: 1=%", 0): 10, ("x/y: 1=%", 1): 11, ("b_y", 1): 11}
+    assert back.columns == ["row_id", "y", "p", "target", "model", "fold"]
+
+
+def test_folds_per_target(rows):
+    """A target that few groups have gets as many folds as groups; one of two groups gets none."""
+    df = rows.withColumns({"some": F.when(F.col("doi").isin("1", "2", "3", "4"), F.col("b_y")),
+                           "two": F.when(F.col("doi").isin("1", "2"), F.col("b_y"))})
+    run = training.train_targets(df, ["b_y", "some", "two"], X, k=6, forest=FOREST, tree={"maxDepth": 3},
+                                 final_fit=False, group="doi", keep=["row_id", "doi"])
+    folds = {(r["target"], r["model"]): r["n"] for r in run.oof.groupBy("target", "model").agg(
+        F.count_distinct("fold").alias("n")).collect()}
+    assert folds == {(t, m): n for t, n in (("b_y", 6), ("some", 4)) for m in ("rf_qr", "dt", "lr")}
+    split = run.oof.groupBy("target", "model", "doi").agg(F.count_distinct("fold").alias("n"))
+    assert split.where("n > 1").count() == 0
+    got = {r["target"]: r for r in run.results.collect()}
+    assert got["two"]["r2_rf"] is None and got["two"]["n"] > 30 and got["some"]["r2_lr"] > 0.99
+    plan = run.oof._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan

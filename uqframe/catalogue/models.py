@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from uqframe.catalogue.experiments import experiments, measured
+from uqframe.catalogue.experiments import (
+    ALL_COLUMNS, bucket_sql, experiments, measured, r2_sql, r6, rmse_sql, rnd, with_m,
+)
+from uqframe.constants import TARGETS
 from uqframe.operators import encode, intervals, metrics, splits
-from uqframe.plans import scoring, training
+from uqframe.plans import fold_table, linear, scoring, training
 from uqframe.sources.session import cut_lineage, new_path
 from uqframe.sources.tables import read_calibration, write_calibration
 
@@ -158,7 +162,63 @@ def interval_modes(spark, sf):
     return out
 
 
+LINEAR = ["temp_c", "t_min", "o_c", "h_c"]
+
+
+def fold_rows(spark, sf):
+    """All experiments with every target that they have, and five row folds."""
+    df = measured(experiments(spark, sf, part=True))
+    return cut_lineage(splits.row_folds(df, 5), "folds"), [t for t in TARGETS if t in df.columns]
+
+
+def linear_sums(spark, sf):
+    """Sums of products of all terms per target and fold, in one pass."""
+    df, targets = fold_rows(spark, sf)
+    sums = linear.fold_sums(df, targets, LINEAR[:3], pairwise=False)
+    rows = F.max(F.when(F.col("j") == 0, F.col("total"))).over(Window.partitionBy("target", "fold"))
+    return rnd(sums.withColumn("mean", F.col("total") / rows).drop("total"), "mean")
+
+
+def fold_table_scores(spark, sf):
+    """Linear baselines of all targets, their out-of-fold rows in the table,
+    half of the folds written twice, and the scores of all in one aggregate."""
+    df, targets = fold_rows(spark, sf)
+    oof = linear.linear_out_of_fold(df, targets, ["temp_c"], False, ["row_id"])
+    path = new_path(spark, "folds")
+    fold_table.write_folds(oof, path)
+    fold_table.write_folds(oof.where(F.col("fold") < 3), path)
+    back = fold_table.read_folds(spark, path, fold_table.table_schema(df, ["row_id"]))
+    return training.fold_scores(back).select("target", "n", "r2_lr", "rmse_lr")
+
+
+def all_targets(spark, sf):
+    """Three models of all 24 targets with group folds per target, from one run; a
+    target that the experiments lack or that is constant keeps its row."""
+    df, x = table(spark, sf, part=True)
+    run = training.train_targets(df, TARGETS, x, k=3, forest=SMALL, tree=TREE, linear_features=LINEAR,
+                                 parallelism=4, final_fit=False, group="doi")
+    return run.results
+
+
+_TERMS = ["cast(1 as double)", *LINEAR[:3], "y"]
+_TARGETS = [t for t in TARGETS if t in ALL_COLUMNS or t in ("e_b", "e_h", "c_b", "c_h")]
+_LONG = with_m(f""", l AS (SELECT temp_c, t_min, o_c, cast({bucket_sql('row_id')} % 5 as int) AS fold,
+ unnest([{', '.join(f"'{t}'" for t in _TARGETS)}]) AS target, unnest([{', '.join(_TARGETS)}]) AS y FROM m),
+ u AS (SELECT * FROM l WHERE y IS NOT NULL) """)
+_SUMS = _LONG + " UNION ALL ".join(
+    f"SELECT target, fold, {i} AS i, {j} AS j, {r6(f'avg({a} * {b})')} AS mean FROM u GROUP BY 1, 2"
+    for i, a in enumerate(_TERMS) for j, b in enumerate(_TERMS) if i <= j)
+_FOLDS = _LONG.rstrip() + """, g AS (SELECT target, fold AS own, k FROM (SELECT DISTINCT target, fold FROM u), range(5) r(k)),
+ c AS (SELECT target, k, regr_slope(y, temp_c) AS a, regr_intercept(y, temp_c) AS b
+  FROM u, range(5) r(k) WHERE fold <> k GROUP BY 1, 2),
+ o AS (SELECT target, fold, y, a * temp_c + b AS p FROM u JOIN c USING (target) WHERE c.k = fold),
+ f AS (SELECT target, fold, count(*) AS n, """ + f"{r2_sql()} AS r2, {rmse_sql()} AS rmse" + """ FROM o GROUP BY 1, 2)
+ SELECT target, cast(sum(n) as bigint) AS n, round(avg(r2), 3) AS r2_lr, round(avg(rmse), 3) AS rmse_lr FROM f GROUP BY 1"""
+
 QUERIES = {
+    "linear_sums": (linear_sums, _SUMS),
+    "fold_scores": (fold_table_scores, _FOLDS),
+    "train_all_targets": (all_targets, None),
     "interval_modes": (interval_modes, None),
     "train_cv_metrics": (cv, None),
     "train_group_cv": (group_cv, None),

@@ -25,8 +25,10 @@ from uqframe.functions.exprs import to_number
 from uqframe.operators.columns import rows_for_target
 from uqframe.operators.encode import TargetTransform, choose_transform, sample_weights
 from uqframe.operators.metrics import finite_pairs, r2, rmse
-from uqframe.operators.splits import subsample
-from uqframe.sources.session import cut_lineage
+from uqframe.operators.splits import fold_count, group_folds, subsample
+from uqframe.plans.fold_table import read_folds, table_schema, write_fold, write_folds
+from uqframe.plans.linear import linear_out_of_fold
+from uqframe.sources.session import cut_lineage, new_path
 
 FOREST_MODES = ("rf", "rf_qr", "rf_cal")
 BOOSTED_MODES = ("xgb", "xgb_cal")
@@ -128,19 +130,27 @@ def calibration_line(df: DataFrame, target: str, prediction: str) -> tuple[float
 
 def out_of_fold(df: DataFrame, target: str, features: list[str], k: int, mode: str = "rf",
                 params: dict[str, Any] | None = None, keep: list[str] = ("row_id",),
-                weight: str | None = "weight") -> DataFrame:
-    """(keep…, target, model, fold, y, p): every row scored by a model that never saw its
-    fold, and whose label transform was learned without it."""
+                weight: str | None = "weight", folder: str | None = None) -> DataFrame:
+    """(keep…, y, p, target, model, fold): every row scored by a model that never saw its
+    fold, and whose label transform was learned without it.
+
+    Each fold's rows go to the out-of-fold table in ``folder``; linear models come from sums, in
+    one job for all folds.
+    """
+    spark = df.sparkSession
+    folder = folder or new_path(spark, "folds")
     rows = rows_for_target(df, target, features)
-    out = None
-    for i in range(k):
-        fitted = fit_model(rows.where(F.col("fold") != i), target, features, mode, params,
-                           weight)
-        part = fitted.score(rows.where(F.col("fold") == i), "p").select(
-            *keep, F.lit(target).alias("target"), F.lit(mode).alias("model"), "fold",
-            F.col(target).alias("y"), "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if mode == "lr":
+        own = weight if weight and weight in df.columns else None
+        write_folds(linear_out_of_fold(rows, [target], features, True, keep, own), folder)
+    else:
+        for i in range(k):
+            fitted = fit_model(rows.where(F.col("fold") != i), target, features, mode, params,
+                               weight)
+            part = fitted.score(rows.where(F.col("fold") == i), "p")
+            write_fold(part.select(*keep, F.col(target).alias("y"), "p"), folder, target, mode, i)
+    table = read_folds(spark, folder, table_schema(df, list(keep)))
+    return table.where((F.col("target") == target) & (F.col("model") == mode))
 
 
 def fold_scores(oof: DataFrame, digits: int = 3) -> DataFrame:
@@ -170,43 +180,57 @@ def train_targets(df: DataFrame, targets: list[str], features: list[str], k: int
                   best: dict[str, dict[str, Any]] | None = None,
                   linear_features: list[str] | None = None, strategy: str | None = None,
                   keep: list[str] = ("row_id",), parallelism: int = 2,
-                  final_fit: bool = True) -> Training:
+                  final_fit: bool = True, group: str | None = None,
+                  folder: str | None = None) -> Training:
     """Cross-validate and fit the three models of every target.
 
-    ``df`` has an integer ``fold`` column from row or group folds. A target that is absent
-    or has too few rows gets a result row of nulls. Fits of different targets may overlap
-    on the cluster. The frame is written once, so that folds neither recompute the features
-    nor depend on executors that may be lost.
+    ``df`` has an integer ``fold`` column from row folds; with ``group`` each target gets group
+    folds of its own, made of its usable rows, and at most as many as it has groups. A target that
+    is absent or has too few rows or groups gets a result row of nulls. Fits of different targets may
+    overlap on the cluster. The frame is written once, so that folds neither recompute the features
+    nor depend on executors that may be lost, and every (target, model, fold) writes its rows to
+    the out-of-fold table in ``folder``, from which all scores come in one aggregate. Linear
+    models come from sums: one pass for all targets when they share their folds.
     """
     spark = df.sparkSession
+    folder = folder or new_path(spark, "folds")
     frame = cut_lineage(df, "training")
     present = [t for t in targets if t in df.columns]
     usable = frame.dropna(subset=features).agg(
-        *[F.count(to_number(t)).alias(t) for t in present]).collect()[0].asDict() if present else {}
-    ready = [t for t in present if usable[t] >= MIN_TRAIN_ROWS]
-
-    def one(target: str) -> tuple[str, list[DataFrame], dict[str, Fitted]]:
+        *[F.count(to_number(t)).alias(t) for t in present],
+        *[F.count_distinct(F.when(to_number(t).isNotNull(), F.col(group))).alias("g_" + t)
+          for t in present if group]).collect()[0].asDict() if present else {}
+    ready = [t for t in present if usable[t] >= MIN_TRAIN_ROWS and (not group or usable["g_" + t] >= 3)]
+    straight = linear_features or features
+    together = not group and strategy is None
+    if ready and together:
+        write_folds(linear_out_of_fold(frame, ready, straight, True, list(keep)), folder)
+
+    def one(target: str) -> tuple[str, dict[str, Fitted]]:
         rf = merged(forest or {}, (best or {}).get(target))
         setups = {"rf": (mode, rf, features), "dt": ("dt", tree, features),
-                  "lr": ("lr", None, linear_features or features)}
-        own = sample_weights(rows_for_target(frame, target, features), strategy)
-        own = cut_lineage(own, "target")  # weights are those of the target's usable rows
-        parts = [out_of_fold(own, target, cols, k, m, p, keep)
-                 for m, p, cols in setups.values()]
+                  "lr": ("lr", None, straight)}
+        own, folds = rows_for_target(frame, target, features), k
+        if group:
+            folds = fold_count(usable["g_" + target], k)
+            own = group_folds(own, group, folds)
+        own = sample_weights(own, strategy)
+        if group or strategy:
+            own = cut_lineage(own, "target")  # weights and folds are those of the target's usable rows
+        for m, p, cols in setups.values():
+            if not (m == "lr" and together):
+                out_of_fold(own, target, cols, folds, m, p, keep, folder=folder)
         models = {kind: fit_model(own, target, cols, m, p)
                   for kind, (m, p, cols) in setups.items()} if final_fit else {}
-        return target, parts, models
+        return target, models
 
     with ThreadPool(max(1, parallelism)) as pool:
         done = pool.map(one, ready)
-    oof = None
-    for _, parts, _ in done:
-        for part in parts:
-            oof = part if oof is None else oof.unionByName(part)
+    oof = read_folds(spark, folder, table_schema(df, list(keep))) if ready else None
     rest = [(t, int(usable.get(t, 0))) for t in targets if t not in ready]
     empty = spark.createDataFrame(rest, "target string, n long")
     results = empty if oof is None else fold_scores(oof).unionByName(empty, allowMissingColumns=True)
-    return Training(results, oof, {t: models for t, _, models in done})
+    return Training(results, oof, dict(done))
 
 
 def random_candidates(lists: dict[str, list] = SEARCH_LISTS, draws: int = SEARCH_DRAWS,
