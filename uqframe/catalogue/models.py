@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,8 +16,11 @@ from uqframe.catalogue.experiments import (
 from uqframe.constants import TARGETS
 from uqframe.operators import encode, intervals, metrics, splits
 from uqframe.plans import fold_table, linear, scoring, training
+from uqframe.plans.estimator import CalibratedRegressor
 from uqframe.sources.session import cut_lineage, new_path
-from uqframe.sources.tables import read_calibration, write_calibration
+from uqframe.sources.tables import (
+    read_best_params, read_calibration, typed_params, write_best_params, write_calibration,
+)
 
 NUMERIC = ["temp_c", "t_min", "o_c", "h_c", "c", "h", "o"]
 FOREST = {"numTrees": 20, "maxDepth": 8, "seed": 42}
@@ -162,6 +169,43 @@ def interval_modes(spark, sf):
     return out
 
 
+def calibrated_pipeline(spark, sf):
+    """The transformed, calibrated forest as a stage of a pipeline, tuned by
+    cross-validation with weights, its best parameters through their table into training, saved
+    and loaded; both models score the test part alike."""
+    df, x = table(spark, sf)
+    train, test = splits.materialize(df)
+    train = cut_lineage(splits.row_folds(encode.sample_weights(train), 3), "train")
+    target, columns = "hhv_biooil", LINEAR
+    fill = Imputer(strategy="median", inputCols=columns, outputCols=columns)
+    stages = [fill, VectorAssembler(inputCols=columns, outputCol="features"),
+              CalibratedRegressor(labelCol=target, mode="rf_cal", weightCol="weight", **SMALL)]
+    grid = ParamGridBuilder().addGrid(stages[2].maxDepth, [3, 6]).addGrid(
+        stages[2].minInstancesPerNode, [1, 5]).build()
+    evaluator = RegressionEvaluator(labelCol=target, metricName="r2")
+    cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=evaluator,
+                        numFolds=3, foldCol="fold", parallelism=2)
+    tuned = cv.fit(train)
+    path = new_path(spark, "pipeline")
+    tuned.bestModel.write().overwrite().save(path)
+    chosen = grid[max(range(len(grid)), key=lambda i: tuned.avgMetrics[i])]
+    best = {"rf": {target: {**SMALL, **{p.name: v for p, v in chosen.items()}}}}
+    params = new_path(spark, "best")
+    write_best_params(spark, best, [target], params)
+    stored = {r["target"]: typed_params(r["rf"]) for r in read_best_params(spark, params).collect()}
+    run = training.train_targets(train, [target], x, k=3, mode="rf_cal", best=stored, tree=TREE,
+                                 linear_features=LINEAR, final_fit=False)
+    trained = run.results.select(F.lit("stored_params").alias("model"), "n", F.col("r2_rf").alias("r2"),
+                                 F.col("rmse_rf").alias("rmse"))
+    out = trained
+    for name, model in (("tuned", tuned.bestModel), ("loaded", PipelineModel.load(path))):
+        scored = model.transform(test).select(F.col(target).alias("y"), F.col("prediction").alias("p"))
+        out = out.unionByName(metrics.finite_pairs(scored).agg(
+            F.count("*").alias("n"), metrics.r2().alias("r2"), metrics.rmse().alias("rmse")).withColumn(
+            "model", F.lit(name)))
+    return out
+
+
 LINEAR = ["temp_c", "t_min", "o_c", "h_c"]
 
 
@@ -222,6 +266,7 @@ QUERIES = {
     "interval_modes": (interval_modes, None),
     "train_cv_metrics": (cv, None),
     "train_group_cv": (group_cv, None),
+    "calibrated_pipeline": (calibrated_pipeline, None),
     "tune_search": (tuned, None),
     "light_tuning": (light, None),
     "model_modes": (modes, None),

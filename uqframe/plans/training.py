@@ -26,6 +26,7 @@ from uqframe.operators.columns import rows_for_target
 from uqframe.operators.encode import TargetTransform, choose_transform, sample_weights
 from uqframe.operators.metrics import finite_pairs, r2, rmse
 from uqframe.operators.splits import fold_count, group_folds, subsample
+from uqframe.plans.estimator import CalibratedRegressor
 from uqframe.plans.fold_table import read_folds, table_schema, write_fold, write_folds
 from uqframe.plans.linear import linear_out_of_fold
 from uqframe.sources.session import cut_lineage, new_path
@@ -253,34 +254,47 @@ def param_maps(estimator: Any, candidates: list[dict[str, Any]]) -> list[dict]:
             for c in candidates]
 
 
+def _tuned(df: DataFrame, target: str, features: list[str], mode: str, base: dict[str, Any] | None,
+           weight: str | None, label: str) -> tuple[DataFrame, CalibratedRegressor]:
+    """Rows for a search, written once, and the stage that it scores: transform, regressor and
+    calibration, with the weights of the rows."""
+    extra = [c for c in ("fold", weight) if c and c in df.columns]
+    rows = with_vector(df, features, mode).select(target, "features", *extra)
+    est = CalibratedRegressor(labelCol=target, target=target, mode=mode, **(base or {}))
+    if weight and weight in df.columns:
+        est = est.setParams(weightCol=weight)
+    return cut_lineage(rows, label), est
+
+
+def _scores_table(spark: SparkSession, candidates: list[dict[str, Any]], scores: list[float]) -> DataFrame:
+    return spark.createDataFrame(
+        [(i, str(sorted(c.items())), float(s)) for i, (c, s) in enumerate(zip(candidates, scores))],
+        "candidate int, params string, r2 double")
+
+
 def search(df: DataFrame, target: str, features: list[str], base: dict[str, Any] | None = None,
-           candidates: list[dict[str, Any]] | None = None, k: int = 10,
-           parallelism: int = 2) -> tuple[dict[str, Any], DataFrame]:
-    """Best parameters by cross-validated R², and the (candidate, r2) table."""
+           candidates: list[dict[str, Any]] | None = None, k: int = 10, parallelism: int = 2,
+           mode: str = "rf", weight: str | None = "weight") -> tuple[dict[str, Any], DataFrame]:
+    """Best parameters by cross-validated R² on the target's own scale, and the (candidate, r2) table."""
     candidates = random_candidates() if candidates is None else candidates
-    rows = with_vector(rows_for_target(df, target, features), features, "rf")
-    rows = cut_lineage(rows.select(target, "features", "fold"), "search")
-    est = make_estimator("rf", base).setLabelCol(target).setFeaturesCol("features")
+    rows, est = _tuned(rows_for_target(df, target, features), target, features, mode, base, weight, "search")
     cv = CrossValidator(estimator=est, estimatorParamMaps=param_maps(est, candidates),
                         evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
                         numFolds=k, foldCol="fold", parallelism=parallelism)
     scores = cv.fit(rows).avgMetrics
     best = max(range(len(candidates)), key=lambda i: scores[i])
-    table = df.sparkSession.createDataFrame(
-        [(i, str(sorted(c.items())), float(s)) for i, (c, s) in enumerate(zip(candidates, scores))],
-        "candidate int, params string, r2 double")
-    return merged(merged(FOREST_DEFAULTS, base), candidates[best]), table
+    return (merged(merged(FOREST_DEFAULTS, base), candidates[best]),
+            _scores_table(df.sparkSession, candidates, scores))
 
 
 def light_tuning(df: DataFrame, target: str, features: list[str],
                  base: dict[str, Any] | None = None,
                  candidates: list[dict[str, Any]] = LIGHT_TUNING_CANDIDATES,
-                 n: int = LIGHT_TUNING_ROWS, parallelism: int = 2
-                 ) -> tuple[dict[str, Any], DataFrame]:
+                 n: int = LIGHT_TUNING_ROWS, parallelism: int = 2, mode: str = "rf",
+                 weight: str | None = "weight") -> tuple[dict[str, Any], DataFrame]:
     """Best of a few overrides on a small row sample, by R² on a held-out part of it."""
-    rows = with_vector(subsample(rows_for_target(df, target, features), n), features, "rf")
-    rows = cut_lineage(rows.select(target, "features"), "tuning")
-    est = make_estimator("rf", base).setLabelCol(target).setFeaturesCol("features")
+    some = subsample(rows_for_target(df, target, features), n)
+    rows, est = _tuned(some, target, features, mode, base, weight, "tuning")
     maps = param_maps(est, candidates)
     maps = maps if any(maps) else ParamGridBuilder().build()
     tuner = TrainValidationSplit(estimator=est, estimatorParamMaps=maps, trainRatio=0.75, seed=42,
@@ -288,10 +302,8 @@ def light_tuning(df: DataFrame, target: str, features: list[str],
                                  parallelism=parallelism)
     scores = tuner.fit(rows).validationMetrics
     best = max(range(len(candidates)), key=lambda i: scores[i])
-    table = df.sparkSession.createDataFrame(
-        [(i, str(sorted(c.items())), float(s)) for i, (c, s) in enumerate(zip(candidates, scores))],
-        "candidate int, params string, r2 double")
-    return merged(merged(FOREST_DEFAULTS, base), candidates[best]), table
+    return (merged(merged(FOREST_DEFAULTS, base), candidates[best]),
+            _scores_table(df.sparkSession, candidates, scores))
 
 
 def safe_name(target: str) -> str:
