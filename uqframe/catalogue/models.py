@@ -53,7 +53,7 @@ def group_cv(spark, sf):
     """Group folds, weighted fits, out-of-fold residual widths."""
     df, x = table(spark, sf)
     df = splits.group_folds(df, "doi", 3)
-    df = encode.sample_weights(df, "balance_temperature")
+    df = cut_lineage(encode.sample_weights(df, "balance_temperature"), "weights")
     oof = training.out_of_fold(df, "hhv_biooil", x, 3, params=SMALL, keep=["row_id", "doi"])
     width = intervals.conformal_width(intervals.conformal_residuals(oof))
     return training.fold_scores(oof).select("target", "n", "r2_rf", "rmse_rf").join(width, "target")

@@ -1,10 +1,10 @@
 """Exact quantiles with linear interpolation, without holding a group in one task.
 
 Spark's ``percentile`` keeps one map entry per distinct value of a group, which fails for
-a group with billions of distinct doubles. Here every value gets a monotone integer code
-(even steps of its logarithm). One map-side combined pass counts values per
-code; that small histogram names the code which holds each wanted rank. A second pass
-looks only at the values inside those codes.
+a group with billions of distinct doubles. Here a pilot pass sketches each group and brackets
+every wanted rank between two values, a fixed small share of the rows apart, however the values
+are spread. One exact pass then counts the rows of each stretch between these values, and the
+different values inside the brackets only; the wanted ranks are found in these counts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from uqframe.functions.exprs import finite
 from uqframe.operators.skew import attach
 
+#: Rank error of the sketch is one in ACCURACY; brackets reach SLACK to either side, which is
+#: at least a few ranks for keys of more than FEW_ROWS rows.
+ACCURACY, SLACK, FEW_ROWS = 10_000, 4e-4, 20_000
 STEPS = 1 << 12
 
 
@@ -35,25 +38,53 @@ def long_values(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     return out.where(F.col("value").isNotNull())
 
 
-def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], bounded: bool) -> DataFrame:
+def _brackets(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys…, n, edges, narrow): for each key the sorted ends of its brackets, and which of the
+    stretches between them (the ones beside them included) lie inside a bracket. A key of few rows
+    is one bracket as a whole."""
+    low = [max(0.0, p - SLACK) for p in probs]
+    high = [min(1.0, p + SLACK) for p in probs]
+    sketch = F.percentile_approx("value", F.array(*map(F.lit, [*low, *high])), F.lit(ACCURACY))
+    pilot = long.groupBy(*keys).agg(F.count("*").alias("n"), sketch.alias("at"))
+    ends = F.arrays_zip(F.slice("at", 1, len(probs)).alias("lo"), F.slice("at", len(probs) + 1, len(probs)).alias("hi"))
+    none = F.array().cast("array<double>")
+    few = F.col("n") <= FEW_ROWS
+    pilot = pilot.withColumns({"ends": ends, "edges": F.when(few, none).otherwise(
+        F.array_sort(F.array_distinct("at")))})
+    inside = F.transform("edges", lambda e, i: F.exists("ends", lambda s: (
+        (s["lo"] < e) & (e <= s["hi"]) & (F.get("edges", i - 1) >= s["lo"]))))
+    narrow = F.when(few, F.array(F.lit(True))).otherwise(F.concat(inside, F.array(F.lit(False))))
+    return pilot.select(*keys, "n", "edges", narrow.alias("narrow"))
+
+
+def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], probs: list[float],
+                bounded: bool) -> DataFrame:
     """For each key and each wanted zero-based position (an expression over ``n``) the value
-    at the whole rank below it and the one above it: (keys…, slot, pos, n, v_lo, v_hi)."""
-    coded = long.withColumn("code", value_code(F.col("value")))
-    hist = coded.groupBy(*keys, "code").agg(F.count("*").alias("cnt"))
-    sizes = hist.withColumnRenamed("cnt", "n")
-    running = Window.partitionBy(*keys).orderBy("code")
-    whole = Window.partitionBy(*keys)
-    hist = hist.select(
-        *keys, "code", "cnt",
-        (F.sum("cnt").over(running) - F.col("cnt")).alias("before"),
-        F.sum("cnt").over(whole).alias("n"),
-    )
+    at the whole rank below it and the one above it: (keys…, slot, pos, n, v_lo, v_hi).
+
+    ``probs`` says about where the positions lie, as shares of the rows: within a few ranks.
+    """
+    placed = attach(long, _brackets(long, keys, probs), keys, "inner", bounded=bounded)
+    # odd cells are single ends of brackets, even ones the stretches between them
+    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    placed = placed.select(*keys, "n", "value", "narrow", below.alias("below"),
+                           F.coalesce(F.get("edges", below) == F.col("value"), F.lit(False)).alias("at_edge"))
+    looked_at = F.col("at_edge") | F.get("narrow", F.col("below"))
+    counted = placed.groupBy(
+        *keys, "n", (2 * F.col("below") + F.col("at_edge").cast("int")).alias("cell"),
+        F.when(looked_at, F.col("value")).alias("exact")).agg(
+        F.count("*").alias("c"), F.min("value").alias("least"), F.max("value").alias("most"))
+    # the same aggregates as below, so that both read one exchange
+    cells = counted.groupBy(*keys, "n", "cell").agg(
+        F.sum("c").alias("cnt"), F.min("least").alias("from"), F.max("most").alias("to"))
+    running = Window.partitionBy(*keys).orderBy("cell")  # a few cells per wanted position
+    cells = cells.withColumn("before", F.sum("cnt").over(running) - F.col("cnt"))
     slots = F.array(*[
         F.struct(F.lit(i).alias("slot"), w.cast("double").alias("pos"))
         for i, w in enumerate(wanted)
     ])
-    hit = hist.withColumn("s", F.explode(slots)).select(
-        *keys, "code", "n", "before", "cnt", "s.slot", "s.pos",
+    hit = cells.withColumn("s", F.explode(slots)).select(
+        *keys, "cell", "n", "before", "cnt", "from", "to", "s.slot", "s.pos",
         F.floor("s.pos").alias("r_lo"), F.ceil("s.pos").alias("r_hi"),
     )
     end = F.col("before") + F.col("cnt")
@@ -61,19 +92,24 @@ def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], bounded:
         ((F.col("r_lo") >= F.col("before")) & (F.col("r_lo") < end))
         | ((F.col("r_hi") >= F.col("before")) & (F.col("r_hi") < end))
     )
-    cells = hit.select(*keys, "code").distinct()
-    inside = attach(coded, cells, [*keys, "code"], "inner", bounded=bounded, counts=sizes)
-    inside = inside.groupBy(*keys, "code", "value").agg(F.count("*").alias("c"))
-    cell_order = Window.partitionBy(*keys, "code").orderBy("value")
-    inside = inside.withColumn("upto", F.sum("c").over(cell_order))
-    found = attach(inside, hit.drop("cnt"), [*keys, "code"], "inner", bounded=bounded, salted=False)
+    inside = counted.drop("n").withColumn("upto", F.sum("c").over(
+        Window.partitionBy(*keys, "cell").orderBy("exact")))  # the different values of a bracket
+    found = attach(inside, hit.drop("cnt"), [*keys, "cell"], "inner", bounded=bounded, salted=False)
     first = F.col("before") + F.col("upto") - F.col("c")
     last = F.col("before") + F.col("upto")
+
+    def value_at(rank: str) -> Column:
+        here = (F.col(rank) >= first) & (F.col(rank) < last)
+        # a stretch that was only counted still knows its two ends
+        value = F.when(F.col("least") == F.col("most"), F.col("least")).when(
+            F.col(rank) == first, F.greatest("least", "from")).when(
+            F.col(rank) == last - 1, F.least("most", "to")).otherwise(
+            F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
+        return F.max(F.when(here, value))
+
     return found.groupBy(*keys, "slot").agg(
         F.max("pos").alias("pos"), F.max("n").alias("n"),
-        F.max(F.when((F.col("r_lo") >= first) & (F.col("r_lo") < last), F.col("value"))).alias("v_lo"),
-        F.max(F.when((F.col("r_hi") >= first) & (F.col("r_hi") < last), F.col("value"))).alias("v_hi"),
-    )
+        value_at("r_lo").alias("v_lo"), value_at("r_hi").alias("v_hi"))
 
 
 def exact_quantiles(df: DataFrame, values: list[str], probs: list[float],
@@ -85,7 +121,7 @@ def exact_quantiles(df: DataFrame, values: list[str], probs: list[float],
     by = list(by)
     keys = [*by, "variable"]
     wanted = [F.lit(float(p)) * (F.col("n") - 1).cast("double") for p in probs]
-    ranked = rank_values(long_values(df, values, by), keys, wanted, bounded=not by)
+    ranked = rank_values(long_values(df, values, by), keys, wanted, list(probs), bounded=not by)
     share = F.col("pos") - F.floor("pos")
     names = F.array(*[F.lit(float(p)) for p in probs])
     return ranked.select(
@@ -108,8 +144,8 @@ def quantile_columns(df: DataFrame, values: list[str], probs: dict[str, float],
     )
 
 
-def nth_smallest(df: DataFrame, value: str, n: Column) -> DataFrame:
+def nth_smallest(df: DataFrame, value: str, n: Column, prob: float) -> DataFrame:
     """One row: the value at the zero-based position ``n`` (an expression over ``n``, the
-    count of rows)."""
-    ranked = rank_values(long_values(df, [value], []), ["variable"], [n], bounded=True)
+    count of rows), which lies about at the share ``prob`` of the rows."""
+    ranked = rank_values(long_values(df, [value], []), ["variable"], [n], [prob], bounded=True)
     return ranked.select(F.col("v_lo").alias("value"), "n")

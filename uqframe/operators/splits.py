@@ -39,7 +39,7 @@ def split_groups(df: DataFrame, group: str = "doi", test_fraction: float = 0.2,
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
     placed = groups.select(group_position(group, seed).alias("h"))
     count = F.greatest(F.lit(1.0), F.rint(F.lit(float(test_fraction)) * F.col("n")))
-    threshold = nth_smallest(placed, "h", count - 1).select("value").scalar()
+    threshold = nth_smallest(placed, "h", count - 1, test_fraction).select("value").scalar()
     is_test = F.coalesce(group_position(group, seed) <= threshold, F.lit(False))
     is_test = F.col(group).isNotNull() & is_test
     return df.withColumn("is_test", is_test).withColumn("is_train", ~F.col("is_test"))
