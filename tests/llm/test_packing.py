@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.llm.data import documents, frame
@@ -33,6 +35,37 @@ def test_every_id_once(spark):
     assert sum(map(len, ids.values())) / 256 / len(by_sequence) > 0.9
 
 
+ODD = ["×", "÷", "×(", "3×,", "2×-3", "÷.", "×=", "\u00a0", "\u2003", "\u0085", "\u2028", "\x1c", "\x00", "\u0301", "\u0327",
+       "e\u0301", "'s", "'", "it's", "ß", "İ", "Ω", "日本", "ａ", "½", "²", "🙂", "\t", "\n", "\r\n", "  ", "--", "()", "12", "a1"]
+
+
+def test_random_strings_equal_the_library():
+    """Signs, letters and marks from U+0020 to U+024F, blanks of all kinds."""
+    tool = Tokenizer.from_file(FILE)
+    r = random.Random(8)
+    texts = list(ODD)
+    for _ in range(10_000):
+        size = r.randrange(1, 14)
+        texts.append("".join(r.choice(ODD) if r.random() < 0.3 else chr(r.randrange(0x20, 0x250 if r.random() < 0.5 else 0x7f))
+                             for _ in range(size)))
+    texts += ["<|endoftext|>", "x<|startoftext|>y", "", " "]
+    mine = packing.Tokens(open(FILE).read())
+    assert mine.by_words
+    data = pa.array([t.encode() for t in texts], pa.binary())
+    want = [f.ids for f in tool.encode_batch_fast(texts, add_special_tokens=False)]
+    wrong = [(t, w, list(g)) for t, w, g in zip(texts, want, mine.encode(data)) if list(g) != w]
+    assert not wrong, wrong[:5]
+
+
+def test_other_files_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, tool = packing.Tokens(open(path).read()), Tokenizer.from_file(path)
+    assert not mine.by_words
+    texts = ["Hello  World's", "", "a\n\n b×(c)", " x"]
+    got = mine.encode(pa.array([t.encode() for t in texts] + [None], pa.binary()))
+    assert [list(g) for g in got] == [tool.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), FILE).count() == 0
 

@@ -37,8 +37,9 @@ DEPTH = 3
 SLACK = 3
 MOST_WORDS, MOST_UNITS, LONGEST_KEPT = 300_000, 500_000, 40
 #: Latin words and ASCII signs where what follows cannot belong to the same token; else words.
-UNITS = re.compile(rb"(?:[0-9a-z]|\xc3[\x80-\xbf])++(?![\x80-\xff'])"
-                   rb"|[!-&(-/:-@[-`{-~]++(?![\x80-\xff'])|[^ \t-\r]+")
+#: Of the letters at 0xC3, 0x97 and 0xB7 are the signs of multiplication and division.
+UNITS = re.compile(rb"(?:[0-9a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff'])"
+                   rb"|[!-&(-/:-@[-`{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[^ \t-\r]+")
 
 
 class Remembered(dict):
@@ -59,16 +60,36 @@ class Remembered(dict):
         self.update((k, v) for k, v in new.items() if len(k) <= LONGEST_KEPT)
 
 
+# fixed values: how a file must normalise and split for texts to be cut at blanks and into units
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_blanks(definition: dict) -> bool:
+    """Whether tokens of a file never hold blanks and never join letters with signs."""
+    normal, cuts = definition.get("normalizer") or {}, definition.get("pre_tokenizer") or {}
+    first = (cuts.get("pretokenizers") or [{}])[0]
+    return (normal.get("normalizers") == NORMAL and first.get("type") == "Split"
+            and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True
+            and first.get("behavior") == "Removed"
+            and all(c == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+                    for c in cuts["pretokenizers"][1:])
+            and not definition.get("post_processor"))
+
+
 class Tokens:
-    """Ids of whole texts from a tokenizers file whose tokens never hold blanks and never join
-    letters with signs. Ids of words are remembered, and those of their units."""
+    """Ids of whole texts from a tokenizers file. Where its tokens never hold blanks and never join
+    letters with signs, ids of words are remembered, and those of their units; other files get
+    whole texts."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_str(definition)
-        special = [re.escape(t["content"].encode()) for t in json.loads(definition)["added_tokens"]]
+        facts = json.loads(definition)
+        self.by_words = splits_at_blanks(facts)
+        special = [re.escape(t["content"].encode()) for t in facts["added_tokens"]]
         self.special = re.compile(b"|".join(special)) if special else None
         self.words, self.units = Remembered(MOST_WORDS), Remembered(MOST_UNITS)
 
@@ -80,6 +101,8 @@ class Tokens:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (binary, null: empty). Texts are split and their different words
         found in Arrow; only these are looked up one by one."""
+        if not self.by_words:
+            return [np.frombuffer(i, "<u4") for i in self._ids([t or b"" for t in texts.to_pylist()])]
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
         flat = words.values.view(pa.binary()).dictionary_encode()
         distinct = flat.dictionary.to_pylist()
