@@ -71,7 +71,7 @@ def common_lines(docs: DataFrame, limits: Limits, host: str) -> DataFrame:
     by_line = (by_text.groupBy("host", "line")
                .agg(F.count("*").alias("n"), F.min("first_id").alias("first_id"))
                .where(F.col("n") >= limits.min_docs))
-    totals = (read.select("host", F.xxhash64("text").alias("k")).distinct()
+    totals = (read.select("host", F.xxhash64(F.coalesce("text", F.lit(b""))).alias("k")).distinct()
               .groupBy("host").agg(F.count("*").alias("texts")).withColumnRenamed("host", "_host"))
     found = by_line.join(totals, by_line["host"].eqNullSafe(totals["_host"]))
     above = found.where(F.col("n") > limits.max_share * F.col("texts"))
