@@ -37,10 +37,10 @@ def test_learned_format_is_found():
     r = random.Random(5)
     secret = lambda: "".join(r.choice("0123456789abcdefXYZ") for _ in range(24))
     ordinary = ["".join(r.choice("aeioulmnrst") for _ in range(20)) for _ in range(300)]
-    formats = c.Formats({"assign": [secret() for _ in range(300)]}, ordinary, c.Settings())
+    formats = c.Formats({"assign": [secret() for _ in range(300)]}, c.class_pairs(ordinary), c.Settings())
     assert sum(formats.secret(secret()) for _ in range(200)) > 170
     assert sum(map(formats.secret, ordinary)) == 0
-    assert not c.Formats({}, ordinary, c.Settings()).secret(secret())
+    assert not c.Formats({}, c.class_pairs(ordinary), c.Settings()).secret(secret())
 
 
 def test_merged_automaton_is_small_and_a_distribution():
@@ -57,3 +57,14 @@ def test_redaction(spark):
     assert c.redact(df).columns == df.columns and out[8].text is None
     assert "8985f69a751217166f" not in out[17].text and "AKIA2" not in out[17].text
     assert out[4].text == documents()[4][1] and out[17].n_chars == len(out[17].text)
+
+
+def test_all_runs_teach_the_ordinary_model(spark):
+    """Counts of every run of every row, whatever its length, and candidates of 12 characters."""
+    runs = [f"{'abcdefgh' * (i % 40 + 2)}{i:04d}" for i in range(9000)]
+    rows = [(i, " ".join(runs[i * 90:i * 90 + 90]), None, None, None, None) for i in range(100)]
+    found = c._find(frame(spark, rows))
+    want = c.class_pairs(runs)
+    assert c.learn(found, c.Settings()).pairs == want and sum(want.values()) > 9000 * 20
+    short = c.candidates("pwd Xk29fLq8Zt3B and x12345678901", [])
+    assert [v for _, _, v in short] == ["Xk29fLq8Zt3B", "x12345678901"]

@@ -37,7 +37,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Candidates are at least as long as the shortest labelled values.
+SHORTEST = min(LEAST.values())
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def candidates(text: str, base: list[tuple]) -> list[tuple[int, int, str]]:
         while near < len(taken) and taken[near][0] < end and taken[near][1] <= start:
             near += 1
         free = near == len(taken) or taken[near][0] >= end
-        if len(value) >= 16 and free:
+        if len(value) >= SHORTEST and free:
             out.append((start, end, value))
     return out
 
@@ -177,17 +179,25 @@ class Automaton:
         return out / (len(text) + 1)
 
 
+def class_pairs(runs: list[str]) -> Counter:
+    """How often each class of character follows another one, ends included."""
+    out: Counter = Counter()
+    for text in runs:
+        chain = ["^", *map(symbol, text), "$"]
+        out.update(zip(chain, chain[1:]))
+    return out
+
+
 class Formats:
-    """The automata of all kinds, the ordinary model, and the score that a span needs."""
+    """The automata of all kinds, the ordinary model from the pairs of classes of all runs, and
+    the score that a span needs."""
 
-    def __init__(self, examples: dict[str, list[str]], ordinary: list[str], s: Settings):
+    def __init__(self, examples: dict[str, list[str]], ordinary: Counter, s: Settings):
         self.s = s
         self.automata = {k: Automaton(v, s.alpha) for k, v in sorted(examples.items()) if v}
-        self.pairs, self.firsts = Counter(), Counter()
-        for text in ordinary:
-            chain = ["^", *map(symbol, text), "$"]
-            self.pairs.update(zip(chain, chain[1:]))
-            self.firsts.update(chain[:-1])
+        self.pairs, self.firsts = ordinary, Counter()
+        for (a, _), n in ordinary.items():
+            self.firsts[a] += n
         own = sorted(self.score(v) for values in examples.values() for v in values)
         self.least = max(s.margin, own[int(s.tail * len(own))]) if own else math.inf
         self.seen: dict[str, bool] = {}
@@ -249,8 +259,13 @@ def learn(found: DataFrame, s: Settings) -> Formats:
     pairs = found.select(F.explode(F.arrays_zip("kinds", "labelled")).alias("p"))
     examples = {k: _smallest(pairs.where(F.col("p.kinds") == k).select(
         F.col("p.labelled").alias("v")), s.most_examples, s) for k in KINDS[:3]}
-    runs = found.select(F.explode("runs").alias("v"))
-    return Formats(examples, _smallest(runs, 4 * s.most_examples, s), s)
+    def per_slice(part):
+        n = class_pairs([v for runs in part["runs"].to_pylist() for v in runs])
+        return {"a": [k[0] for k in n], "b": [k[1] for k in n], "n": list(n.values())}
+
+    pairs = map_rows(found.select("runs"), per_slice, "a string, b string, n long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # pairs of a dozen classes
+    return Formats(examples, Counter({(r["a"], r["b"]): r["n"] for r in pairs}), s)
 
 
 def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
