@@ -29,10 +29,11 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uqframe.llm.common import arrow_schema, slices
+from uqframe.operators.skew import attach, fits
 from uqframe.operators.splits import ranked
 from uqframe.sources.session import cut_lineage
 
@@ -329,7 +330,9 @@ def collocations(docs: DataFrame, least: int = LEAST, keep_share: int = KEEP_SHA
     text = F.array_join(F.transform("words", lambda w: w.cast("string")), " ")
     scored = both.groupBy("lang", "words", "f").agg(cut).select(
         "lang", text.alias("phrase"), F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    top = ranked(scored, F.col("lang"), F.desc("score"), F.desc("a"), F.col("phrase"))
     totals = counts.where(F.size("words") == 0).select("lang", F.col("f").alias("n"))
-    return top.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    starts = top.groupBy("lang").agg(F.min("rank").alias("_first")).join(totals, "lang")
+    top = attach(top, starts, ["lang"], "inner", bounded=fits(starts))
+    top = top.withColumn("rank", F.col("rank") - F.col("_first") + 1).where(F.col("rank") <= first)
+    return top.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
