@@ -30,9 +30,9 @@ n AS (SELECT doc_id, source, text, line, {_WORDS.format(_LOWER.format('line'))}
 k AS (SELECT *, regexp_replace(array_to_string(lw, ' '), '[0-9]', '0', 'g') AS norm FROM n
   WHERE len(lw) > 0),
 h AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY 1),
-c AS (SELECT source, norm, min(doc_id) AS first_id FROM k JOIN h USING (source) GROUP BY 1, 2
+c AS (SELECT k.source, norm, min(doc_id) AS first_id FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source GROUP BY 1, 2
   HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.05 * max(texts)),
-o AS (SELECT doc_id, sum(len(lw)) AS lost FROM k JOIN c USING (source, norm)
+o AS (SELECT doc_id, sum(len(lw)) AS lost FROM k JOIN c ON k.norm = c.norm AND k.source IS NOT DISTINCT FROM c.source
   WHERE doc_id <> first_id GROUP BY 1),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM k GROUP BY 1),
 f AS (SELECT doc_id, len(ws) AS n_words,
