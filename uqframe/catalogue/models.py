@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from uqframe.catalogue.experiments import (
     ALL_COLUMNS, bucket_sql, experiments, measured, r2_sql, r6, rmse_sql, rnd, with_m,
 )
-from uqframe.constants import TARGETS
+from uqframe.constants import N_TARGETS, TARGETS
 from uqframe.operators import encode, intervals, metrics, splits
+from uqframe.operators.columns import check_targets
 from uqframe.plans import fold_table, linear, scoring, training
 from uqframe.plans.estimator import CalibratedRegressor
 from uqframe.sources.session import cut_lineage, new_path
@@ -238,6 +239,7 @@ def fold_table_scores(spark, sf):
 def all_targets(spark, sf):
     """Three models of all 24 targets with group folds per target, from one run; a
     target that the experiments lack or that is constant keeps its row."""
+    check_targets(TARGETS, N_TARGETS)
     df, x = table(spark, sf, part=True)
     run = training.train_targets(df, TARGETS, x, k=3, forest=SMALL, tree=TREE, linear_features=LINEAR,
                                  parallelism=4, final_fit=False, group="doi")

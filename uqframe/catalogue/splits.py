@@ -69,6 +69,15 @@ def papers(spark, sf):
     return found.unionByName(lost)
 
 
+def trainable(spark, sf):
+    """What is left for training without the selected papers, split by rows."""
+    df = normalize_ids(experiments(spark, sf).select("row_id", "doi", "title", "feedstock", "b_y"))
+    wanted = spark.createDataFrame(PAPERS, "id string, title string, label string")
+    out = splits.split_rows(splits.without_holdouts(df, wanted))
+    return out.groupBy("feedstock", "is_test").agg(
+        F.count("*").alias("n"), F.sum("b_y").alias("total"), F.count_distinct("doi").alias("papers"))
+
+
 def partial(spark, sf):
     """rows of one paper under listed conditions."""
     df = normalize_ids(experiments(spark, sf).select(
@@ -142,6 +151,10 @@ SELECT label, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT p.label, 0 FROM (
  ('paper A', '10.1/s7', ''), ('paper B', '', 'Study 12'), ('paper C', '10.1/s40', 'Study 0'),
  ('paper D', '10.1/none', 'No such study')) p(label, id, title)
  WHERE NOT EXISTS (SELECT 1 FROM e WHERE {_ID} = p.id OR trim(e.title) = p.title)""")),
+    "training_without_holdouts": (trainable, with_e(f"""
+SELECT feedstock, {_TEST} AS is_test, count(*) AS n, sum(b_y) AS total, count(DISTINCT {_ID}) AS papers FROM e
+ WHERE {_ID} NOT IN ('10.1/s7', '10.1/s40', '10.1/none')
+ AND trim(title) NOT IN ('Study 12', 'Study 0', 'No such study') GROUP BY 1, 2""")),
     "partial_holdout": (partial, with_e(", w(id, feedstock, temp_c, t_min, tag, required) AS (VALUES " + ", ".join(
         f"('{d}', '{f}', {t}, {m}, '{g}', {r})" for d, f, t, m, g, r in CONDITIONS) + f""")
 SELECT row_id, tag FROM e JOIN w ON {_ID} = w.id AND e.feedstock = w.feedstock

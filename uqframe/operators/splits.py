@@ -87,6 +87,12 @@ def holdout_match(df: DataFrame, papers: DataFrame, id_col: str = "doi",
         "_id", "_title", "_id_l", "_title_l")
 
 
+def without_holdouts(df: DataFrame, papers: DataFrame, id_col: str = "doi",
+                     title_col: str = "title") -> DataFrame:
+    """The rows that may be trained on: those of no selected paper."""
+    return holdout_match(df, papers, id_col, title_col).where(F.col("label").isNull()).drop("label")
+
+
 def unmatched_papers(df: DataFrame, papers: DataFrame, id_col: str = "doi",
                      title_col: str = "title") -> DataFrame:
     """Selected papers without any row."""
