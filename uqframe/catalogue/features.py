@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from uqframe.catalogue.experiments import experiments, number, r6, rnd, with_e
 from uqframe.constants import BASE_NUMERIC, SOLVENT_FLAGS, SOLVENT_NUMERIC, TARGETS
 from uqframe.functions.exprs import atomic_ratio, frac_to_logit, logit_to_frac, logit_to_pct, pct_to_logit
-from uqframe.operators import encode
+from uqframe.operators import encode, sparse
+from uqframe.sources.session import cut_lineage
 
 FAMILIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 LAMBDAS = [-1.0 + 0.25 * i for i in range(13)]
@@ -28,6 +29,20 @@ def one_hot(spark, sf):
     return out.select("row_id", *[f"family_{v}" for v in domain], "family_nan", "solv_methanol")
 
 
+SPARSE = (["temp_c", "frac_water"], ["family", "process_subtype", "doi"])
+
+
+def sparse_matrix(spark, sf):
+    """Sparse features of all labels of three columns, summed by slot."""
+    df = cut_lineage(experiments(spark, sf, part=True).select(*SPARSE[0], *SPARSE[1]), "labels")
+    slots = sparse.label_slots(df, SPARSE[1], len(SPARSE[0]))
+    entries = sparse.sparse_entries(df, SPARSE[0], slots, SPARSE[1])
+    entries = entries.select(F.explode("entries").alias("e")).select("e.*")
+    totals = entries.groupBy("slot").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = totals.join(slots, "slot", "left")
+    return rnd(out.select("slot", "column", "label", "n", "total"), "total", digits=4)
+
+
 def decode(spark, sf):
     """Labels back from the one-hot columns, both variants."""
     df = experiments(spark, sf, part=True)
@@ -185,6 +200,18 @@ QUERIES = {
     "onehot_decode": (decode, with_e(
         f"SELECT {_LABEL} AS training, case when family = 'STANDARD' then 'ECONOMY' "
         "when family is null then 'nan' else family end AS analysis, count(*) AS n FROM e GROUP BY 1, 2")),
+    "sparse_matrix": (sparse_matrix, with_e(f"""
+, p AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, {c} AS v FROM e" for c in SPARSE[1])}),
+ d AS (SELECT DISTINCT c, v FROM p WHERE v IS NOT NULL UNION ALL
+ SELECT unnest([{', '.join(f"'{c}'" for c in SPARSE[1])}]), null),
+ s AS (SELECT *, cast(row_number() OVER (ORDER BY c, v NULLS LAST) + 1 as integer) AS slot FROM d),
+ t AS (SELECT c, v, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT slot, c AS "column", s.v AS label, n, cast(n as double) AS total FROM s JOIN t USING (c)
+ WHERE s.v IS NOT DISTINCT FROM t.v
+"""
+        + " UNION ALL ".join(["", *[
+            f"SELECT {i}, null, null, count(*), round(sum({c}), 4) FROM e WHERE {c} <> 0"
+            for i, c in enumerate(SPARSE[0])]]))),
     "flag_counts": (flags, with_e(" UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", cast(sum({c}) as bigint) AS n_ones, "
         f"{r6(f'100 * sum({c}) / count(*)')} AS pct FROM e"
