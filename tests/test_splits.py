@@ -98,3 +98,35 @@ def test_sample_and_stored_split(spark, rows):
         splits.join_split(rows, known, strict=True)
     assert splits.permuted(rows).count() == 4000
     assert splits.fill_group(spark.createDataFrame([(None,)], "doi string")).collect()[0][0] == "UNKNOWN_DOI"
+
+
+def greedy(sizes, k):
+    loads = [0] * k
+    for n in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += n
+    return loads
+
+
+@pytest.mark.parametrize("n", [300, 3_000, 30_000])
+def test_balanced_folds(spark, n):
+    """As even as the greedy placement, also with one group of a third of the rows."""
+    key = F.when(F.col("id") % 3 == 0, None).otherwise(F.floor(F.sqrt(F.col("id"))).cast("string"))
+    df = spark.range(n).select("id", key.alias("doi"))
+    out = splits.balanced_folds(df, "doi", 5)
+    assert out.columns == ["id", "doi", "fold"] and out.count() == n
+    assert out.groupBy("doi").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    sizes = [r["count"] for r in df.groupBy("doi").count().collect()]
+    got = {r["fold"]: r["count"] for r in out.groupBy("fold").count().collect()}
+    assert [got[f] for f in range(5)] == greedy(sizes, 5)
+    dealt = max(r["count"] for r in splits.group_folds(df, "doi", 5).groupBy("fold").count().collect())
+    assert max(got.values()) < dealt
+    again = splits.balanced_folds(df.repartition(7), "doi", 5)
+    assert again.exceptAll(out).count() == 0
+
+
+def test_balanced_folds_equal_sizes_and_few_groups(spark):
+    df = spark.range(12).select(F.col("id").cast("string").alias("doi"))
+    out = splits.balanced_folds(df, "doi", 5).groupBy("fold").count().orderBy("fold").collect()
+    assert [r["count"] for r in out] == [3, 3, 2, 2, 2]
+    with pytest.raises(ValueError):
+        splits.balanced_folds(df.limit(2), "doi", 5)

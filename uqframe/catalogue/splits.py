@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uqframe.catalogue.experiments import bucket_sql, experiments, with_e
+from uqframe.catalogue.experiments import E_SQL, bucket_sql, experiments, with_e
+from uqframe.functions.exprs import hash_bucket
 from uqframe.operators import splits
 from uqframe.operators.cleaning import normalize_ids
 from uqframe.operators.columns import process_label
@@ -100,6 +101,20 @@ def paper_folds(spark, sf):
     return df.groupBy("doi", "fold").agg(F.count("*").alias("n"))
 
 
+def even_paper_folds(spark, sf):
+    """groups of papers by size and fold, placed like the greedy rule does."""
+    df = experiments(spark, sf).withColumn("doi", uneven("doi", "row_id"))
+    sizes = splits.balanced_folds(df.select("doi"), "doi", 10).groupBy("doi", "fold").agg(
+        F.count("*").alias("n"))
+    return sizes.groupBy("fold", "n").agg(F.count("*").alias("groups"))
+
+
+def uneven(doi: str, row: str):
+    """A third of the rows under one paper, another eighth without any."""
+    place = hash_bucket(row, seed="42") % 24
+    return F.when(place < 8, F.lit("big")).when(place >= 11, F.col(doi))
+
+
 def sample(spark, sf):
     """800 rows without replacement."""
     return splits.subsample(experiments(spark, sf).select("row_id", "b_y"), 800)
@@ -164,6 +179,17 @@ SELECT row_id, tag FROM e JOIN w ON {_ID} = w.id AND e.feedstock = w.feedstock
 , g AS (SELECT doi, count(*) AS n FROM e GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY n DESC, doi) - 1 AS r FROM g)
 SELECT doi, cast(case when (r // 10) % 2 = 0 then r % 10 else 9 - r % 10 end as integer) AS fold, n FROM r""")),
+    "group_kfold_even": (even_paper_folds, f"WITH RECURSIVE {E_SQL}" + """
+, u AS (SELECT case when q < 8 then 'big' when q < 11 then 'UNKNOWN_DOI' else doi end AS doi
+ FROM (SELECT doi, """ + bucket_sql("row_id") + """ % 24 AS q FROM e)),
+s AS (SELECT doi, count(*) AS n FROM u GROUP BY 1),
+g AS (SELECT n, row_number() OVER (ORDER BY n DESC, doi) AS r FROM s),
+w(r, n, fold, loads) AS (
+ SELECT cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), [cast(0 as bigint) for i in range(10)]
+ UNION ALL SELECT g.r, g.n, list_position(loads, list_min(loads)),
+ [case when i + 1 = list_position(loads, list_min(loads)) then loads[i + 1] + g.n else loads[i + 1] end for i in range(10)]
+ FROM w JOIN g ON g.r = w.r + 1)
+SELECT cast(fold - 1 as integer) AS fold, n, count(*) AS groups FROM w WHERE r > 0 GROUP BY 1, 2"""),
     "subsample": (sample, with_e("SELECT row_id, b_y FROM e ORDER BY md5('42|' || row_id), row_id LIMIT 800")),
     "permutation": (permuted, with_e(
         "SELECT row_id, cast(row_number() OVER (PARTITION BY doi, t_min ORDER BY md5('42|' || row_id), row_id) "

@@ -3,12 +3,13 @@ partitioning, order or retries."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uqframe.functions.exprs import hash_bucket, to_number
 from uqframe.operators.quantiles import nth_smallest
-from uqframe.operators.skew import attach, fits
+from uqframe.operators.skew import MAX_LIST_ROWS, attach, fits
 from uqframe.sources.session import cut_lineage
 
 HASH_RANGE = float(1 << 32)
@@ -168,6 +169,54 @@ def group_folds(df: DataFrame, group: str = "doi", k: int = 10) -> DataFrame:
     return attach(keyed, folds, ["_g"]).drop("_g")
 
 
+def place_sizes(sizes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """How many groups of each size (descending) every fold gets when each group in turn goes to
+    the lightest fold, the first of equally light ones.
+
+    The groups of one size take the smallest of the loads that the folds pass through
+    (load, load + size, …), so a threshold gives all of their places at once.
+    """
+    loads = np.zeros(k, np.int64)
+    placed = np.zeros((len(sizes), k), np.int64)
+    for row, (size, left) in enumerate(zip(sizes.tolist(), counts.tolist())):
+        low, high = int(loads.min()), int(loads.min()) + size * left + 1
+        while high - low > 1:  # the largest threshold with no more than ``left`` loads below it
+            middle = (low + high) // 2
+            below = int(np.maximum(0, -((loads - middle) // size)).sum())
+            low, high = (middle, high) if below <= left else (low, middle)
+        own = np.maximum(0, -((loads - low) // size))
+        at = np.flatnonzero(loads + own * size == low)
+        own[at[:left - int(own.sum())]] += 1
+        placed[row] = own
+        loads = loads + own * size
+    return placed
+
+
+def balanced_folds(df: DataFrame, group: str = "doi", k: int = 10) -> DataFrame:
+    """Fold per row such that a group is never split and folds are as even as placing the largest
+    group first, always in the lightest fold, makes them.
+
+    Only the histogram of group sizes reaches the driver: sizes that differ add up to no more than
+    the rows, so ``n`` rows have fewer than ``sqrt(2 n)`` of them. Groups of one size are
+    dealt by their key: the smallest keys to fold 0, the next ones to fold 1, and so on. Rows without
+    a group are one group.
+    """
+    keyed = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN_GROUP)))
+    sizes = cut_lineage(keyed.groupBy("_g").agg(F.count("*").alias("_size")), "groups")
+    found = sizes.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).toPandas()
+    k = fold_count(int(found["n"].sum()), k)
+    placed = place_sizes(found["_size"].to_numpy(), found["n"].to_numpy(), k)
+    ends = found["n"].cumsum() - found["n"]
+    found["_ends"] = [list(map(int, row)) for row in placed.cumsum(axis=1) + ends.to_numpy()[:, None]]
+    table = df.sparkSession.createDataFrame(
+        found[["_size", "_ends"]], "_size long, _ends array<long>")
+    ranks = ranked(sizes, F.desc("_size"), F.col("_g"))
+    ranks = attach(ranks, table, ["_size"], "inner", bounded=len(found) <= MAX_LIST_ROWS)
+    fold = F.size(F.filter("_ends", lambda e: e <= F.col("rank"))).cast("int")
+    return attach(keyed, ranks.select("_g", fold.alias("fold")), ["_g"],
+                  counts=sizes.withColumnRenamed("_size", "n")).drop("_g")
+
+
 def subsample(df: DataFrame, n: int, key: str = "row_id", seed: str = "42") -> DataFrame:
     """``n`` rows without replacement: those with the smallest hashes."""
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
