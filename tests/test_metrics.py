@@ -59,6 +59,20 @@ def test_density_curve(spark):
     assert [r["density"] for r in out if r["split"] == "test"] == pytest.approx(list(ys), abs=1e-9)
 
 
+@pytest.mark.parametrize("n, far", [(5, 0.0), (20_000, 0.0), (3_000, 1e4)])
+def test_density_of_different_values(spark, n, far):
+    """Cells and their moments give the direct sum, also with one value far away."""
+    values = np.append(np.random.default_rng(n).normal(3, 2, n - 1), 4 + far)
+    df = frame(spark, [("a", float(v)) for v in values] + [("flat", 4.0)] * 9, "g string, v double")
+    out = metrics.density_curve(df, "v", ["g"], 40).orderBy("i").collect()
+    x = np.linspace(values.min(), values.max(), 40)
+    h = values.std(ddof=1) * n ** -0.2
+    direct = np.array([np.exp(-0.5 * ((p - values) / h) ** 2).mean() for p in x]) / (h * math.sqrt(2 * math.pi))
+    got = np.array([r["density"] for r in out if r["g"] == "a"])
+    assert len(got) == 40 and np.abs(got - direct).max() < 5e-12 / h
+    assert sum(r["g"] == "flat" for r in out) == 40
+
+
 def test_qq_and_residuals(spark):
     rng = np.random.default_rng(1)
     err = np.round(rng.normal(0, 2, 300), 1)

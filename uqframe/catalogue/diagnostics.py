@@ -107,6 +107,11 @@ def density(spark, sf):
     return rnd(metrics.density_curve(rows(spark, sf), "b_y", ["split"], 300), "x", "density", digits=9)
 
 
+def density_of_heats(spark, sf):
+    """Kernel density of a column whose values nearly all differ."""
+    return rnd(metrics.density_curve(rows(spark, sf), "hhv_biooil", ["split"], 60), "x", "density", digits=9)
+
+
 def window(spark, sf):
     """Common support of the splits."""
     return rnd(metrics.overlap_window(rows(spark, sf)), "lo", "hi")
@@ -202,6 +207,14 @@ SELECT row_id, round(p - half, 6) AS lo, round(p + half, 6) AS hi FROM r, d WHER
  c AS (SELECT split, b_y AS v, count(*) AS c FROM r GROUP BY 1, 2)
 SELECT c.split, g.i, round(any_value(x), 9) AS x,
  round(sum(c * exp(-0.5 * ((x - v) / h) * ((x - v) / h)) / sqrt(2 * pi()) / h) / any_value(n), 9) AS density
+FROM c JOIN k ON c.split = k.split, g GROUP BY 1, 2"""),
+    "density_of_heats": (density_of_heats, _R + """
+, k AS (SELECT split, count(*) AS n, stddev_samp(hhv_biooil) * pow(count(*), cast('-0.2' as double)) AS h FROM r GROUP BY 1),
+ g AS (SELECT cast(i as integer) AS i, lo + (hi - lo) * i / cast(59 as double) AS x
+ FROM (SELECT min(hhv_biooil) AS lo, max(hhv_biooil) AS hi FROM r), unnest(range(60)) t(i)),
+ c AS (SELECT split, hhv_biooil AS v, count(*) AS c FROM r GROUP BY 1, 2)
+SELECT c.split, g.i, round(any_value(x), 9) AS x,
+ round(sum(c * exp(-0.5 * ((x - v) / h) * ((x - v) / h)) / sqrt(2 * pi()) / h) / any_value(n), 9) AS density
 FROM c JOIN k ON c.split = k.split, g GROUP BY 1, 2"""),
     "overlap_window": (window, _R + """
 , q AS (SELECT split, quantile_cont(y, 0.05) AS a, quantile_cont(y, 0.95) AS b FROM r GROUP BY 1)

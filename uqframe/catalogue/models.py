@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from uqframe.catalogue.experiments import (
-    ALL_COLUMNS, bucket_sql, experiments, measured, r2_sql, r6, rmse_sql, rnd, with_m,
+    ALL_COLUMNS, bucket_sql, experiments, measured, number, r2_sql, r6, rmse_sql, rnd, with_m,
 )
 from uqframe.constants import N_TARGETS, TARGETS
 from uqframe.operators import encode, intervals, metrics, splits
@@ -20,7 +20,7 @@ from uqframe.plans import fold_table, linear, scoring, training
 from uqframe.plans.estimator import CalibratedRegressor
 from uqframe.sources.session import cut_lineage, new_path
 from uqframe.sources.tables import (
-    read_best_params, read_calibration, typed_params, write_best_params, write_calibration,
+    artifact_audit, read_best_params, read_calibration, typed_params, write_best_params, write_calibration,
 )
 
 NUMERIC = ["temp_c", "t_min", "o_c", "h_c", "c", "h", "o"]
@@ -236,6 +236,32 @@ def fold_table_scores(spark, sf):
     return training.fold_scores(back).select("target", "n", "r2_lr", "rmse_lr")
 
 
+ELEMENTS = ["c_biooil", "h_biooil", "o_biooil", "c_biochar", "h_biochar", "o_biochar"]
+
+
+def fold_ratios(spark, sf):
+    """Atomic ratios from the out-of-fold rows of the element percentages."""
+    df, _ = fold_rows(spark, sf)
+    oof = linear.linear_out_of_fold(df, ELEMENTS, ["temp_c"], False, ["row_id"])
+    return rnd(metrics.fold_ratio_metrics(oof), "r2", "rmse", digits=4)
+
+
+def audit(spark, sf):
+    """What was saved of four targets, one of which the experiments lack: trees of all that
+    have rows, parameters of two, residuals from the out-of-fold rows."""
+    df, x = table(spark, sf)
+    wanted = ["b_y", "c_y", "hhv_biooil", "absent"]
+    known = [t for t in wanted if t in df.columns]
+    folder, params, residuals = (new_path(spark, n) for n in ("models", "best", "calibration"))
+    models = {t: {"dt": training.fit_model(df, t, x, "dt", TREE)} for t in known}
+    training.save_models(spark, models, folder)
+    write_best_params(spark, {"rf": {t: SMALL for t in known[:2]}}, known[:2], params)
+    oof = linear.linear_out_of_fold(splits.row_folds(df, 3), known, ["temp_c"], False, ["row_id"])
+    write_calibration(oof.withColumn("vec", F.array(F.lit(0.0))), residuals)
+    return artifact_audit(spark, wanted, spark.read.parquet(f"{folder}/registry"),
+                          read_best_params(spark, params), spark.read.parquet(residuals))
+
+
 def all_targets(spark, sf):
     """Three models of all 24 targets with group folds per target, from one run; a
     target that the experiments lack or that is constant keeps its row."""
@@ -261,7 +287,28 @@ _FOLDS = _LONG.rstrip() + """, g AS (SELECT target, fold AS own, k FROM (SELECT
  f AS (SELECT target, fold, count(*) AS n, """ + f"{r2_sql()} AS r2, {rmse_sql()} AS rmse" + """ FROM o GROUP BY 1, 2)
  SELECT target, cast(sum(n) as bigint) AS n, round(avg(r2), 3) AS r2_lr, round(avg(rmse), 3) AS rmse_lr FROM f GROUP BY 1"""
 
+_RATIO_SQL = with_m(f""", l AS (SELECT row_id, temp_c, cast({bucket_sql('row_id')} % 5 as int) AS fold,
+ unnest([{', '.join(f"'{t}'" for t in ELEMENTS)}]) AS target, unnest([{', '.join(ELEMENTS)}]) AS y FROM m),
+ u AS (SELECT * FROM l WHERE y IS NOT NULL),
+ c AS (SELECT target, k, regr_slope(y, temp_c) AS a, regr_intercept(y, temp_c) AS b
+  FROM u, range(5) r(k) WHERE fold <> k GROUP BY 1, 2),
+ o AS (SELECT row_id, target, y, a * temp_c + b AS p FROM u JOIN c USING (target) WHERE c.k = fold),
+ w AS (PIVOT o ON target IN ({', '.join(f"'{t}'" for t in ELEMENTS)}) USING max(y) AS y, max(p) AS p GROUP BY row_id),
+ r AS (""" + " UNION ALL ".join(
+    f"SELECT '{num}_c_{phase}' AS target, ({num}_{phase}_y / {number(w)}) / (c_{phase}_y / 12.01) AS y, "
+    f"({num}_{phase}_p / {number(w)}) / (c_{phase}_p / 12.01) AS p FROM w"
+    for num, w in (("o", 16.0), ("h", 1.008)) for phase in ("biooil", "biochar"))
+    + f""") SELECT 'lr' AS model, target, count(*) AS n, round({r2_sql()}, 4) AS r2, round({rmse_sql()}, 4) AS rmse
+ FROM r GROUP BY 2""")
+_AUDIT = with_m(", k AS (SELECT count(distinct t) AS n FROM (SELECT unnest(['b_y', 'c_y', 'hhv_biooil']) AS t, "
+                "unnest([b_y, c_y, hhv_biooil]) AS y FROM m) WHERE y IS NOT NULL) "
+                + " UNION ALL ".join(f"SELECT '{kind}' AS kind, 4 AS expected, cast({n} as bigint) AS available FROM k"
+                                     for kind, n in (("model_rf", 0), ("model_dt", "n"), ("model_lr", 0),
+                                                     ("best_params", "least(n, 2)"), ("calibration", "n"))))
+
 QUERIES = {
+    "fold_ratios": (fold_ratios, _RATIO_SQL),
+    "artifact_audit": (audit, _AUDIT),
     "linear_sums": (linear_sums, _SUMS),
     "fold_scores": (fold_table_scores, _FOLDS),
     "train_all_targets": (all_targets, None),
