@@ -80,8 +80,7 @@ def test_hot_words_over_many_shards(spark, monkeypatch, depth):
     hot = [(100 + i, " ".join("the" if j % 3 == i % 2 or j % 7 < 2 else f"w{(i * j) % 23}" for j in range(300)),
             None, None, None, None) for i in range(12)]
     rows = rows + hot
-    write = t.write_blocks
-    monkeypatch.setattr(t, "write_blocks", lambda docs: write(docs, 4000))
+    monkeypatch.setattr(t, "BLOCK_BYTES", 4000)
     found = []
     find = t.find_hot
     monkeypatch.setattr(t, "find_hot", lambda *a: found.append(find(*a)) or found[-1])

@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -19,10 +19,10 @@ BLOCK_BYTES = 4 << 20
 
 
 def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
-                 carry: list[str] = ()) -> DataFrame:
+                 carry: list[str] = (), name: str | None = None) -> DataFrame:
     """Blocks of (doc_id, text) in the order of the tasks, with the columns of ``carry`` as an
     array of structs, ``rows``. A row of ``docs`` lies in exactly one block; a text that is
-    longer than a block makes one of its own. Null texts are empty."""
+    longer than a block makes one of its own. Null texts are empty. The table is called ``name``."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("binary").alias("text"),
                        *([F.struct(*carry).alias("row")] if carry else []))
@@ -60,13 +60,21 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
             yield block()
 
     spark = docs.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
+    name = name or f"blocks_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     (read.mapInArrow(run, schema).write.bucketBy(buckets, "block")
      .option("path", new_path(spark, name)).option("compression", "zstd").saveAsTable(name))
     return spark.table(name)
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Remove a table that nothing reads any more, its entry and its files."""
+    where = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def total_bytes(blocks: DataFrame) -> int:
     return blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 

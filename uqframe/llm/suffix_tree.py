@@ -10,7 +10,7 @@ Its distribution is smoothed with that of the suffix by the number of different
 kept suffix of what came before scores each symbol. Neither the number of contexts nor that of
 symbols has a limit, so the tree grows with the texts.
 
-Words get numbers first: blocks of texts ask shards of the vocabulary, as sorted arrays of 128-bit
+Words get numbers first: blocks of texts ask shards of the vocabulary, as sorted arrays of 96-bit
 hashes, for the counts and numbers of their words (frequent ones have small numbers), and are
 written once more in numbers. The tree is never in one place: blocks send their different records (a
 symbol and the ``depth`` symbols before it, its count in the texts to learn from) to shards by
@@ -32,19 +32,24 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uqframe.llm.blocks import total_bytes, with_answers, write_blocks
+from uqframe.llm.blocks import drop_table, total_bytes, with_answers, write_blocks
 from uqframe.llm.common import arrow_schema, mix
-from uqframe.llm.substrings import BYTES_PER_WORD, SHARD_WORDS, Digests
+from uqframe.llm.substrings import BYTES_PER_WORD, SHARD_WORDS
 from uqframe.sources.session import cut_lineage, new_path
 
+LOG_STEPS = 1 << 20  # a logarithm travels as a whole number of such parts
+BLOCK_BYTES = 8 << 20
 END = 0  # the number of a text's end; words have greater ones
 
 
@@ -55,7 +60,7 @@ class Settings:
     least_gain: float = 2.0
     modulus: int = 7
     remainder: int = 2
-    shard_records: int = 1 << 21  # that a shard should have
+    shard_records: int = 1 << 20  # that a shard should have
 
 
 def held_out(doc_id: int | None, s: Settings) -> bool:
@@ -74,37 +79,36 @@ def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().view(kind).ravel()
 
 
-ASK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()),
-                 ("counts", pa.binary())])
+ASK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("bits", pa.binary()),
                     ("tokens", pa.int64()), ("kinds", pa.int64())])
-_DIGESTS = Digests()
 
 
 def _vocabulary(words: list[list[bytes]], shards: int):
-    """Distinct word hashes of a block, sorted by shard, and the place of every word."""
-    flat = b"".join([b"".join(map(_DIGESTS.__getitem__, w)) for w in words])
-    pairs = np.frombuffer(flat, np.uint64).reshape(-1, 2)
-    shard = (pairs[:, 0] >> np.uint64(32)) % np.uint64(shards)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0], shard))
-    new = np.ones(len(order), bool)
-    new[1:] = (pairs[order][1:] != pairs[order][:-1]).any(axis=1)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    distinct = pairs[order][new]
-    edges = np.searchsorted(shard[order][new], np.arange(shards + 1, dtype=np.uint64))
-    return distinct, place, edges
+    """The hashes of a block's different words as rows of three 32-bit numbers, sorted by shard and
+    hash, where each shard's begin, and the place of every word among them."""
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    flat = list(chain.from_iterable(words))
+    place = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), np.uint32).reshape(-1, 4)[:, :3]
+    shard = digests[:, 0] % np.uint32(shards)
+    order = np.lexsort((digests[:, 0], digests[:, 1], digests[:, 2], shard))
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    to = np.empty(len(order), np.int64)
+    to[order] = np.arange(len(order))
+    return digests[order], to[place], edges
 
 
 def _numbered(shards: int):
     """Sums a shard's counts and tells every block the counts and numbers of its words; the first
     answer has the shard's tokens and different words as well."""
     def run(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w, np.uint64).reshape(-1, 2) for w in table["words"].to_pylist()]
-        every = np.concatenate(words)
-        counts = np.concatenate([_unpack(c, np.uint32, len(w))
-                                 for c, w in zip(table["counts"].to_pylist(), words)])
-        order = np.lexsort((every[:, 1], every[:, 0]))
+        sizes = table["n"].to_pylist()
+        asked = [_unpack(w, np.uint32, 4 * n).reshape(4, -1)
+                 for w, n in zip(table["words"].to_pylist(), sizes)]
+        *words, counts = np.concatenate(asked, axis=1)
+        every = np.column_stack(words)
+        order = np.lexsort(words)
         new = np.ones(len(order), bool)
         new[1:] = (every[order][1:] != every[order][:-1]).any(axis=1)
         group = np.cumsum(new) - 1
@@ -114,8 +118,8 @@ def _numbered(shards: int):
         ids = 1 + place * shards + table["shard"][0].as_py()
         back = np.empty((2, len(order)), np.uint64)
         back[:, order] = sums[group], ids[group]
-        edges = np.cumsum([0, *map(len, words)])
-        first = [True] + [False] * (len(words) - 1)
+        edges = np.cumsum([0, *sizes])
+        first = [True] + [False] * (len(sizes) - 1)
         return pa.Table.from_pydict(
             {"block": table["block"], "shard": table["shard"],
              "bits": [_pack(back[:, a:b].ravel()) for a, b in zip(edges[:-1], edges[1:])],
@@ -134,13 +138,13 @@ def _vocabulary_answers(blocks: DataFrame, shards: int, s: Settings) -> DataFram
                 distinct, place, edges = _vocabulary(words, shards)
                 train = np.repeat([not held_out(d, s) for d in ids], [len(w) for w in words])
                 counts = np.bincount(place[train], minlength=len(distinct)).astype(np.uint32)
-                rows = [{"shard": k, "block": block, "words": distinct[a:b].tobytes(),
-                         "counts": _pack(counts[a:b])}
+                values = np.vstack([distinct.T, counts])
+                rows = [{"shard": k, "block": block, "n": int(b - a), "words": _pack(values[:, a:b].ravel())}
                         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
                 yield pa.RecordBatch.from_pylist(rows, schema=ASK)
 
     asked = blocks.select("block", "doc_ids", "texts").mapInArrow(
-        ask, "shard long, block long, words binary, counts binary")
+        ask, "shard long, block long, n long, words binary")
     return cut_lineage(asked.groupBy("shard").applyInArrow(
         _numbered(shards), "block long, shard long, bits binary, tokens long, kinds long"), "counts")
 
@@ -220,6 +224,17 @@ class Symbols:
         self.train = np.repeat([not held_out(d, s) for d in row["doc_ids"]], self.sizes).astype(bool)
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, sorted, a place of each, and which one every place has: as ``np.unique``, by
+    a sort that may put equal keys in any order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[:len(keys)]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], of
+
+
 def _joint(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(before ^ mix(symbol + np.uint64(0x9E3779B97F4A7C15)))
 
@@ -291,7 +306,7 @@ class Records:
     def __init__(self, symbols: Symbols, hot: Hot):
         columns = symbols.columns
         key = _joint(list(_contexts(columns, len(columns) - 1))[-1], columns[0])
-        _, first, self.of = np.unique(key, return_index=True, return_inverse=True)
+        _, first, self.of = _groups(key)
         if any((c[first][self.of] != c).any() for c in columns):  # two records with one hash
             _, first, self.of = np.unique(np.column_stack(columns), axis=0, return_index=True,
                                           return_inverse=True)
@@ -300,7 +315,10 @@ class Records:
         self.counts = symbols.counts[first]
         self.n = np.bincount(self.of, symbols.train, len(first)).astype(np.uint64)
         shard, self.deepest = hot.route(self.columns)
-        self.order = np.lexsort((self.columns[1], shard))
+        low = np.uint64((1 << 21) - 1)
+        near, symbol = self.columns[1] & low, self.columns[0] & low  # what sorted columns save in bytes
+        key = (shard.astype(np.uint64) << np.uint64(42)) | (near << np.uint64(21)) | symbol
+        self.order = np.argsort(key, kind="stable")  # the same wherever it is made
         self.edges = np.searchsorted(shard[self.order], np.arange(hot.shards + 1))
 
 
@@ -356,8 +374,7 @@ def hot_facts(coded: DataFrame, hot: Hot, total: Totals, s: Settings) -> DataFra
             parent = np.zeros(len(symbols.train), np.uint64)
             for k, context in enumerate(_contexts(symbols.columns, s.depth - 1), 1):
                 at = np.flatnonzero(hot.find(k, context)[0])
-                _, first, of = np.unique(_joint(context[at], symbols.columns[0][at]), return_index=True,
-                                         return_inverse=True)
+                _, first, of = _groups(_joint(context[at], symbols.columns[0][at]))
                 n = np.bincount(of, symbols.train[at], len(first)).astype(np.int64)
                 at = at[first]
                 values = [np.full(len(at), k, np.int32), context[at].view(np.int64),
@@ -404,15 +421,14 @@ def _branch(columns: list[np.ndarray], n: np.ndarray, p: np.ndarray, deepest: np
     p = p.copy()
     alive = np.arange(len(n))  # records whose contexts so far were frequent enough
     run = np.zeros(len(n), np.uint64)
-    symbol = np.unique(columns[0], return_inverse=True)[1].astype(np.uint64)
+    symbol = _groups(columns[0])[2].astype(np.uint64)
     wide = np.uint64(32)
     for k in range(1, s.depth + 1):
-        place = np.unique(columns[k][alive], return_inverse=True)[1].astype(np.uint64)
-        run = np.unique((run << wide) | place, return_inverse=True)[1].astype(np.uint64)
+        place = _groups(columns[k][alive])[2].astype(np.uint64)
+        run = _groups((run << wide) | place)[2].astype(np.uint64)
         spread = deepest[alive] >= k
         at = alive[~spread]
-        grams, first, of = np.unique((run[~spread] << wide) | symbol[at], return_index=True,
-                                     return_inverse=True)
+        grams, first, of = _groups((run[~spread] << wide) | symbol[at])
         counts, before = np.bincount(of, n[at], len(grams)), p[at[first]]
         context = grams >> wide
         group = np.cumsum(np.append(False, context[1:] != context[:-1])[:len(grams)])
@@ -468,7 +484,7 @@ def record_logs(coded: DataFrame, hot: Hot, total: Totals, s: Settings) -> DataF
                 handed[k] = p[np.searchsorted(keys[order], wanted)]
         start = (known.astype(float) + 1) / total.size
         found = _branch(columns, n.astype(float), start, deepest, handed, s)
-        logs = np.log10(found).astype(np.float32)
+        logs = np.rint(-np.log10(found) * LOG_STEPS).astype(np.uint32)
         edges = np.cumsum([0, *sizes])
         return pa.Table.from_pydict(
             {"block": asked["block"], "shard": asked["shard"],
@@ -485,7 +501,8 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score."""
     s = settings
-    blocks = write_blocks(docs)
+    name = f"blocks_{uuid.uuid4().hex}"
+    blocks = write_blocks(docs, BLOCK_BYTES, name=name)
     shards, size = 1, total_bytes(blocks)
     while shards * SHARD_WORDS * BYTES_PER_WORD < size:
         shards *= 2
@@ -497,8 +514,9 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total = Totals(facts[0] + ends, facts[1] + (ends > 0), ends)
     coded = _coded(blocks, answers, shards, total)
     symbols = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)
-    count, many = coded.agg(F.coalesce(F.sum(symbols), F.lit(0)), F.count("*")).first()
-    tree_shards = max(1, -(-count // s.shard_records))
+    drop_table(docs.sparkSession, name)
+    n_symbols, many = coded.agg(F.coalesce(F.sum(symbols), F.lit(0)), F.count("*")).first()
+    tree_shards = max(1, -(-n_symbols // s.shard_records))
     hot = find_hot(coded, many, tree_shards, total, s)
     logs = record_logs(coded, hot, total, s)
     kind = arrow_schema(SCORED)
@@ -510,7 +528,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             found = np.empty(len(records.order))
             for a in row["logs"]:
                 mine = records.order[records.edges[a["shard"]]:records.edges[a["shard"] + 1]]
-                found[mine] = _unpack(a["bits"], np.float32, len(mine))
+                found[mine] = _unpack(a["bits"], np.uint32, len(mine)) / -LOG_STEPS
             sizes, ids = symbols.sizes, row["doc_ids"]
             scores = np.add.reduceat(found[records.of], np.cumsum(sizes) - sizes)
             yield pa.RecordBatch.from_pydict(
