@@ -17,10 +17,10 @@ symbol and the ``depth`` symbols before it, its count in the texts to learn from
 the nearest symbol, and get the logarithms back in the same order. A shard has all records of its
 contexts, so it builds its branch of the tree and answers from it.
 
-A context with more records than a shard should have is hot, and its records are spread by the next
+A context with more records than four shards should have is hot, and its records are spread by the next
 symbol further back. What it says itself, for each symbol after it, is then summed by Spark
 over all blocks and handed to the shards that its records were spread to. There are fewer than
-``2 * depth`` hot contexts a shard, found by a count that every block cuts off where
+``depth`` hot contexts a shard, found by a count that every block cuts off where
 it cannot matter; that list is all that the driver sees.
 
 Defined results: a null text is an empty one (one end); a document without id is held out;
@@ -50,12 +50,13 @@ from uqframe.sources.session import cut_lineage, new_path
 
 LOG_STEPS = 1 << 20  # a logarithm travels as a whole number of such parts
 BLOCK_BYTES = 8 << 20
+HOT_SHARDS = 4  # a context with the records of more shards than this is spread
 END = 0  # the number of a text's end; words have greater ones
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 3  # symbols of the longest contexts
+    depth: int = 2  # symbols of the longest contexts
     least_count: int = 2
     least_gain: float = 2.0
     modulus: int = 7
@@ -256,7 +257,7 @@ class Hot:
             own = found[found["level"] == k]
             keys = own["context"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(keys)
-            parts = np.ceil(2 * own["n"].to_numpy(float) / s.shard_records)
+            parts = np.ceil(own["n"].to_numpy(float) / s.shard_records)
             parts = np.clip(parts, 1, shards).astype(np.uint64)
             self.levels.append((keys[order], parts[order]))
 
@@ -329,14 +330,14 @@ def _each(batches):
 
 
 def find_hot(coded: DataFrame, blocks: int, shards: int, total: Totals, s: Settings) -> Hot:
-    """A block names the contexts that have half the mean share of a hot one in it, so contexts of more
-    than ``shard_records`` symbols are found with more than half of them; a block names
-    fewer than ``2 * depth`` a shard."""
+    """A context of more than ``HOT_SHARDS * shard_records`` symbols is hot. A block names those that
+    have half the mean share of such a one in it, so a hot one is found with more than half of its
+    symbols; a block names fewer than ``depth`` a shard."""
     kind = pa.schema([("level", pa.int32()), ("context", pa.int64()), ("n", pa.int64())])
     none = pd.DataFrame({"level": [], "context": [], "n": []})
     if shards < 2 or s.depth < 2:
         return Hot(none, shards, s)
-    least = s.shard_records / (2 * max(1, blocks))
+    least = HOT_SHARDS * s.shard_records / (2 * max(1, blocks))
 
     def run(batches):
         for row in _each(batches):
@@ -353,7 +354,7 @@ def find_hot(coded: DataFrame, blocks: int, shards: int, total: Totals, s: Setti
     named = coded.select("sizes", "doc_ids", "kinds", "places", "ids", "counts").mapInArrow(
         run, "level int, context long, n long")
     named = named.groupBy("level", "context").agg(F.sum("n").alias("n"))
-    return Hot(named.where(F.col("n") >= s.shard_records / 2).toPandas(), shards, s)
+    return Hot(named.where(F.col("n") >= HOT_SHARDS * s.shard_records / 2).toPandas(), shards, s)
 
 
 HOT = "level int, context long, parent long, symbol long, n long, known long"
@@ -414,6 +415,10 @@ def hot_facts(coded: DataFrame, hot: Hot, total: Totals, s: Settings) -> DataFra
     return out.select(((F.col("base") + F.col("part")) % hot.shards).alias("shard"), "context", "symbol", "p")
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values
+
+
 def _branch(columns: list[np.ndarray], n: np.ndarray, p: np.ndarray, deepest: np.ndarray,
             handed: dict[int, np.ndarray], s: Settings) -> np.ndarray:
     """The probability of each record of a shard. ``p`` is that without a context, ``handed[k]`` that
@@ -468,7 +473,7 @@ def record_logs(coded: DataFrame, hot: Hot, total: Totals, s: Settings) -> DataF
         if not sizes:
             return LOGS.empty_table()
         values = np.concatenate([
-            _unpack(bits.as_py(), np.uint64, (s.depth + 4) * n).reshape(s.depth + 4, -1)
+            _narrow(_unpack(bits.as_py(), np.uint64, (s.depth + 4) * n)).reshape(s.depth + 4, -1)
             for bits, n in zip(asked["records"], sizes)], axis=1)
         columns, (known, n, deepest) = list(values[:s.depth + 1]), values[s.depth + 1:]
         handed = {}
