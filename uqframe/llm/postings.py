@@ -5,10 +5,14 @@ inner product is the smallest distance. Centroids are fitted on at most ``most_s
 (those whose ids have the smallest hashes) by k-means that charges a full cluster, and stay in
 memory with a graph of their neighbours, which a beam searches. Every vector goes to the list of
 its nearest centroid and, when it lies near a boundary, to up to ``copies`` lists whose centroids
-are at most ``1 + spread`` times as far. A query looks into as many of the lists nearest to it as
-``calibrated`` queries need for ``least_recall`` of their exact neighbours, which are found by
-comparing these queries with all vectors; nothing else bounds that number. Lists are dealt out in
-parts of bounded size, each compared with bounded blocks of queries, and every part hands on its
+are at most ``1 + spread`` times as far. A query is stretched to the norm of the vectors, which keeps
+the order of its inner products, and looks into the lists whose centroids are at most ``ratio``
+times as far as its nearest one: the beam finds that one, and the graph is walked on from every
+centroid within the ratio and a margin, however many there are. The ratio is the one with which ``calibrated``
+queries meet ``least_recall`` of their exact neighbours through the graph; those are found by
+comparing these queries with all vectors. (A query on top of a centroid would ask for that list
+alone, so half the median of the nearest distances is the least that the ratio is applied to.)
+Lists are dealt out in parts of bounded size, each compared with bounded blocks of queries, and every part hands on its
 ``k`` nearest only. Exact copies of a vector are reduced to the ``k + 1`` smallest ids first, of
 which no query can need more.
 
@@ -39,8 +43,7 @@ class Settings:
     spread: float = 0.10
     calibrated: int = 256
     least_recall: float = 0.99
-    least_probes: int = 8
-    beam: int = 64  # of the search for the lists of a vector, at most ``copies``
+    beam: int = 64
     links: int = 24
     part_rows: int = 4096
     block_queries: int = 1024
@@ -105,8 +108,25 @@ class Graph:
             far = self._far(centers[at:at + 1024], None)
             near[at:at + 1024] = np.argpartition(far, near.shape[1] - 1, axis=1)[:, :near.shape[1]]
         self.near = np.hstack([near, rng.integers(0, n, (n, 2), dtype=np.int32)])
+        self.walk = self._both_ways(n)
+        self.norms = (centers ** 2).sum(axis=1)
         self.entries = rng.choice(n, min(n, 2 * self.beam), replace=False)
 
+    def _both_ways(self, n: int) -> np.ndarray:
+        """Links to walk on: also from its four nearest to each centroid, which few others may
+        link to, and to the next one; rows are filled up with the centroid itself."""
+        nodes = np.arange(n)
+        closest = np.argsort(self._far(self.centers, self.near[:, :-2]), axis=1, kind="stable")[:, :5]
+        closest = np.take_along_axis(self.near[:, :-2], closest, 1)
+        source = np.concatenate([np.repeat(nodes, self.near.shape[1]), closest.ravel(), nodes])
+        target = np.concatenate([self.near.ravel(), np.repeat(nodes, closest.shape[1]), (nodes + 1) % n])
+        links = np.unique(np.column_stack([source, target]), axis=0)
+        degree = np.bincount(links[:, 0], minlength=n)
+        out = np.tile(nodes[:, None], (1, int(degree.max())))
+        start = np.cumsum(degree) - degree
+        out[links[:, 0], np.arange(len(links)) - start[links[:, 0]]] = links[:, 1]
+        return out
+
     def _far(self, q: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Squared distances to all centroids, or to those of a row's ``ids``."""
         own = (q * q).sum(axis=1)[:, None]
@@ -115,9 +135,44 @@ class Graph:
         c = self.centers[ids]
         return own + (c * c).sum(axis=2) - 2 * np.einsum("qd,qnd->qn", q, c)
 
-    def nearest(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Ids of the ``k`` nearest centroids of each row, nearest first, compared with all."""
-        return np.argsort(self._far(q, None), axis=1, kind="stable")[:, :k]
+    def within(self, q: np.ndarray, ratio: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of all that the graph reaches at no more than ``ratio`` times the
+        nearest distance of the row, or times ``floor`` if that is more."""
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(q), 64):
+            row, col = self._within(q[at:at + 64], ratio, floor)
+            rows.append(row + at)
+            cols.append(col)
+        return np.concatenate(rows), np.concatenate(cols)
+
+    def _within(self, q: np.ndarray, ratio: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        own, n = (q * q).sum(axis=1), len(self.centers)
+        far = np.full((len(q), n), np.inf, np.float32)
+        ids, found = self._search(q, self.beam)
+        row, col = np.nonzero(np.isfinite(found))
+        far[row, ids[row, col]] = found[row, col]
+        left = np.ones(far.shape, bool)  # not walked on from
+        while True:
+            least = np.sqrt(np.maximum(far.min(axis=1), 0))
+            bound = (ratio * np.maximum(least, floor))[:, None]
+            row, col = np.nonzero((far <= (MARGIN * bound) ** 2) & left)
+            if not len(row):
+                near = far <= bound ** 2
+                near[np.arange(len(q)), far.argmin(axis=1)] = True
+                return np.nonzero(near)
+            left[row, col] = False
+            reached = np.zeros(far.shape, bool)
+            for i in range(0, len(row), 16_384):
+                reached[row[i:i + 16_384, None], self.walk[col[i:i + 16_384]]] = True
+            row, col = np.nonzero(reached & np.isinf(far))
+            for i in range(0, len(row), 65_536):
+                r, c = row[i:i + 65_536], col[i:i + 65_536]
+                both = np.einsum("pd,pd->p", q[r], self.centers[c])
+                far[r, c] = own[r] + self.norms[c] - 2 * both
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """To all centroids: for the calibrated queries only."""
+        return np.sqrt(np.maximum(0, self._far(q, None)))
 
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of about the ``k`` nearest centroids of each row, nearest first;
@@ -149,6 +204,9 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
 
 
+#: The walk goes on from centroids that are this much beyond the ratio, to miss fewer within.
+MARGIN = 1.1
+
 LISTED = "vec_id long, v array<double>, list long"
 LISTED_KIND = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("list", pa.int64())])
 
@@ -174,28 +232,30 @@ def _posted(rows: DataFrame, graph: Graph, norm: float, s: Settings) -> DataFram
     return rows.select("vec_id", "v").mapInArrow(run, LISTED)
 
 
-def _widened(q: np.ndarray) -> np.ndarray:
-    """Queries have nothing in the component that lengthens vectors."""
-    return np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+def _stretched(q: np.ndarray, norm: float) -> np.ndarray:
+    """Queries as long as vectors, with nothing in the component that lengthens those."""
+    size = np.sqrt((q * q).sum(axis=1, keepdims=True))
+    return np.hstack([q * (norm / size), np.zeros((len(q), 1))]).astype(np.float32)
 
 
-def _asked(rows: DataFrame, graph: Graph, probes: int) -> DataFrame:
-    """Queries of (vec_id, v) once per list: the ``probes`` nearest."""
+def _asked(rows: DataFrame, graph: Graph, norm: float, bound: tuple[float, float]) -> DataFrame:
+    """Queries of (vec_id, v) once per list within ``bound``, a ratio and a least distance."""
     def run(batches):
         for part in slices(batches, 512):
-            ids = graph.nearest(_widened(matrix(part["v"])), probes)
-            yield _listed(part, np.repeat(np.arange(len(ids)), ids.shape[1]), ids.ravel())
+            row, ids = graph.within(_stretched(matrix(part["v"]), norm), *bound)
+            yield _listed(part, row, ids)
 
     return rows.select("vec_id", "v").mapInArrow(run, LISTED)
 
 
-def _probes(first: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph,
-            s: Settings) -> int:
-    """How many lists a bounded set of queries needs to meet ``least_recall`` of its neighbours."""
+def _bound(first: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph, norm: float,
+           s: Settings) -> tuple[float, float]:
+    """The ratio with which a bounded set of queries meets ``least_recall`` of its neighbours,
+    and the least distance that it is applied to."""
     mixed = F.xxhash64("vec_id", F.lit(1))
     some = queries.select("vec_id", "v").orderBy(mixed, "vec_id").limit(s.calibrated).toArrow()
     if not some.num_rows:
-        return s.least_probes
+        return 1.0, 0.0
     q_ids, q = some["vec_id"].to_numpy(), matrix(some["v"].combine_chunks())
 
     def run(batches):
@@ -217,17 +277,29 @@ def _probes(first: DataFrame, queries: DataFrame, posted: DataFrame, graph: Grap
     exact = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k)
     held = posted.select("vec_id", "list").join(F.broadcast(exact), "vec_id")  # k rows a query
     held = held.select("query_id", "vec_id", "list").toArrow()
+    wide = _stretched(q, norm)
+    far = graph.distances(wide)
+    floor = float(np.median(far.min(axis=1))) / 2
     if not held.num_rows:
-        return s.least_probes
-    place = np.argsort(graph.nearest(_widened(q), len(graph.centers)), axis=1)
-    row = np.searchsorted(q_ids, held["query_id"].to_numpy(), sorter=np.argsort(q_ids))
-    row = np.argsort(q_ids)[row]
-    pairs = np.column_stack([held["query_id"].to_numpy(), held["vec_id"].to_numpy()])
+        return 1.0, floor
+    order = np.argsort(q_ids)
+    row = order[np.searchsorted(q_ids, held["query_id"].to_numpy(), sorter=order)]
+    at = held["list"].to_numpy()
+    pairs = np.column_stack([row, held["vec_id"].to_numpy()])
     _, of = np.unique(pairs, axis=0, return_inverse=True)
-    needed = np.full(of.max() + 1, len(graph.centers))
-    np.minimum.at(needed, of.ravel(), place[row, held["list"].to_numpy()] + 1)
-    enough = np.sort(needed)[int(np.ceil(s.least_recall * len(needed))) - 1]
-    return max(s.least_probes, int(enough))
+    of = of.ravel()
+    needed = np.full(of.max() + 1, np.inf)
+    least = np.maximum(np.maximum(far.min(axis=1), floor), 1e-12)
+    np.minimum.at(needed, of, far[row, at] / least[row])
+    enough = int(np.ceil(s.least_recall * len(needed)))
+    ratio = max(1.0, float(np.sort(needed)[enough - 1])) * (1 + 1e-5)
+    while True:  # the graph may miss some of the lists within the ratio
+        met, asked = np.zeros(len(needed), bool), np.zeros(far.shape, bool)
+        asked[graph.within(wide, ratio, floor)] = True
+        met[of[asked[row, at]]] = True
+        if met.sum() >= enough or asked.all():
+            return ratio, floor
+        ratio *= 1.02
 
 
 def nearest_in(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
@@ -271,7 +343,7 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings = Settings()
     first = rows.withColumn("copy", F.row_number().over(place)).where(F.col("copy") <= s.k + 1)
     posted = cut_lineage(_posted(first, graph, norm, s), "postings")
     queries = rows.where(is_query)
-    asked = _asked(queries, graph, _probes(first, queries, posted, graph, s))
+    asked = _asked(queries, graph, norm, _bound(first, queries, posted, graph, norm, s))
     near = cut_lineage(_compared(posted, cut_lineage(asked, "probes"), s), "nearest")
     # Lists of very near centroids may hold less than k: such queries look into all lists.
     enough = near.groupBy("query_id").agg(F.count("*").alias("found"))
@@ -289,7 +361,7 @@ def _compared(posted: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
     """The ``k`` nearest of every query among the lists that it was dealt to."""
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / s.part_rows).alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / s.block_queries).alias("blocks"))
-    sizes = parts.join(blocks, "list")
+    sizes = F.broadcast(cut_lineage(parts.join(blocks, "list"), "lists"))  # a row per list
 
     def dealt(rows, own, other):
         out = rows.join(sizes, "list")
