@@ -11,7 +11,8 @@ times as far as its nearest one: the beam finds that one, and the graph is walke
 centroid within the ratio and a margin, however many there are. The ratio is the one with which ``calibrated``
 queries meet ``least_recall`` of their exact neighbours through the graph; those are found by
 comparing these queries with all vectors. (A query on top of a centroid would ask for that list
-alone, so half the median of the nearest distances is the least that the ratio is applied to.)
+alone, and the ratio that others then need would open all lists to them: so the median of the
+nearest distances is the least that the ratio is applied to.)
 Lists are dealt out in parts of bounded size, each compared with bounded blocks of queries, and every part hands on its
 ``k`` nearest only. Exact copies of a vector are reduced to the ``k + 1`` smallest ids first, of
 which no query can need more.
@@ -279,7 +280,7 @@ def _bound(first: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph
     held = held.select("query_id", "vec_id", "list").toArrow()
     wide = _stretched(q, norm)
     far = graph.distances(wide)
-    floor = float(np.median(far.min(axis=1))) / 2
+    floor = float(np.median(far.min(axis=1)))
     if not held.num_rows:
         return 1.0, floor
     order = np.argsort(q_ids)
@@ -299,7 +300,7 @@ def _bound(first: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph
         met[of[asked[row, at]]] = True
         if met.sum() >= enough or asked.all():
             return ratio, floor
-        ratio *= 1.02
+        ratio *= 1.002
 
 
 def nearest_in(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
