@@ -76,3 +76,46 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in components(edges.repartition(8)).collect()}
     assert {got[k] for k in range(61)} == {0} and {got[k] for k in (100, 102, 105)} == {100}
     assert components(edges.where("false")).count() == 0
+
+
+def test_tiles_of_sets_of_all_sizes(spark):
+    """Every link between members of a band that are apart, sets beyond a tile's shingles included."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sets = {}
+    for k in range(160):
+        n = int(5 * 1.06 ** k) if k < 157 else 1_200_000
+        own = np.unique(r.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        sets[2 * k] = own
+        sets[2 * k + 1] = own[:max(1, (82 if k % 3 else 70) * len(own) // 100)]
+    items = spark.createDataFrame([(i, len(v), bytearray(v.tobytes())) for i, v in sets.items()],
+                                  "doc_id long, n long, items binary").repartition(4)
+    buckets = spark.createDataFrame([(b, i, i) for b in (7, 9) for i in sets if b == 7 or i % 5],
+                                    "bucket long, doc_id long, label long")
+    got = {tuple(sorted(x)) for x in m.check_tiles(buckets, items, 80).collect()}
+    want = {(2 * k, 2 * k + 1) for k in range(160) if m.similar(sets[2 * k], sets[2 * k + 1], 80)}
+    assert got == want and len(want) > 90
+
+
+def test_size_classes_keep_similar_sizes_adjacent(spark):
+    from pyspark.sql import functions as F
+
+    for percent in (80, 50, 100):
+        n = spark.range(1, 60_000).select(
+            m.size_class(F.col("id"), percent).alias("a"),
+            m.size_class(F.floor(F.col("id") * 100 / percent), percent).alias("b"))
+        assert n.where("b - a not in (0, 1)").count() == 0
+
+
+def test_thousands_of_near_copies(spark):
+    base = prose(50, 120).split(" ")
+    rows = []
+    for k in range(5000):
+        own = list(base)
+        own[k % 100] = f"z{k}"
+        rows.append((k, " ".join(own), "e", "s", 0, "c"))
+    rows += [(9000, "q " + prose(51, 120), "e", "s", 0, "c")]
+    got = m.near_duplicates(frame(spark, rows), size=2)
+    assert [tuple(r) for r in got.groupBy("component_id").count().orderBy("component_id").collect()] == [
+        (0, 5000), (9000, 1)]

@@ -8,36 +8,45 @@ are taken once (their smallest ``doc_id`` stands for all copies) and cut into ba
 that share a band are candidates.
 
 Links are confirmed on full sets. First every member of a band is compared with the band's
-smallest id. Where members of a band are then still in different components, all of them are
-compared in tiles of ``TILE`` documents, tile against tile, of which only the links that join
-components come back. So a group of many near copies costs one comparison each, and no link is
+smallest id. Where members of a band are then still in different components, they are compared
+in tiles, tile against tile, of which only the links that join components come back. A tile holds
+members of one class of set sizes, at most ``TILE`` of them and at most ``TILE_ITEMS`` shingles (or
+one longer document), and meets tiles of its own class and the next one only: sets further apart
+in size cannot be similar. Members get their tiles from their place in an order sorted by ranges,
+so no task sees all of a band. So a group of many near copies costs one comparison each, and no link is
 lost that a shared band shows: with 24 bands of 4 rows a pair of similarity 0.8 shares none with
 a probability of 3 in a million.
 
 Defined results: a null text is an empty one; an empty document has no shingles and is linked
 with nothing; a document without id has no component, is linked with nothing and is kept;
-repeated rows get a row each; extra columns are ignored.
+repeated rows get a row each, and of an id with several texts each is a set of its own in the bands,
+while links are confirmed on the one that is smallest as bytes of hashes; texts of any length are
+compared whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uqframe.llm.common import WordHashes, map_rows, mix, slices
 from uqframe.llm.components import Forest, components
 from uqframe.operators.skew import attach, fits
+from uqframe.operators.splits import ranked
 from uqframe.sources.session import cut_lineage
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
 CHUNK = 4096
-TILE = 64
+TILE, TILE_ITEMS = 64, 1 << 20
+KIND_AT = 40  # a tile's number has its class of sizes above this bit
+GRID_COLUMNS = 1 << 16  # shingles that a comparison of tiles looks at together
 SALTS = 16
 ODD = mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
 _HASHES = WordHashes()
@@ -110,7 +119,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, items) of the documents listed in ``wanted`` (doc_id)."""
+    """(doc_id, n, items) of the documents listed in ``wanted`` (doc_id)."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("binary").alias("text"))
     wanted = F.broadcast(wanted) if fits(wanted, 500_000) else wanted
@@ -121,7 +130,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 "items": [shingles(t or b"", size).tobytes() for t in part["text"].to_pylist()]}
 
     sets = map_rows(read, per_slice, "doc_id long, items binary")
-    return cut_lineage(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = sets.groupBy("doc_id").agg(F.min("items").alias("items"))
+    n = (F.octet_length("items") / 8).cast("long")
+    return cut_lineage(sets.select("doc_id", n.alias("n"), "items"), "sets")
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -167,10 +178,16 @@ def tile_links(ids: list[int], labels: list[int], sets: list[np.ndarray], percen
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, place, times = np.unique(every, return_inverse=True, return_counts=True)
     shared = times[place] > 1
-    column = np.cumsum(times > 1) - 1
-    grid = np.zeros((len(sets), int((times > 1).sum())), np.float32)
-    grid[owner[shared], column[place[shared]]] = 1
-    both = (grid @ grid.T).astype(np.int64)
+    column = (np.cumsum(times > 1) - 1)[place[shared]]
+    owner = owner[shared]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int((times > 1).sum()), GRID_COLUMNS):
+        low, high = np.searchsorted(column, [at, at + GRID_COLUMNS])
+        grid = np.zeros((len(sets), min(GRID_COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        grid[owner[low:high], column[low:high] - at] = 1
+        both += (grid @ grid.T).astype(np.int64)
     n = np.array([len(s) for s in sets], np.int64)
     linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (n[:, None] > 0)
     forest = Forest()
@@ -181,18 +198,35 @@ def tile_links(ids: list[int], labels: list[int], sets: list[np.ndarray], percen
             yield ids[i], ids[j]
 
 
+def class_step(percent: int) -> float:
+    """Similar sets lie in the same class of sizes or in adjacent ones: a class is a little wider
+    than the largest quotient of their sizes."""
+    return max(100 / percent, 1.01) * 1.001
+
+
+def size_class(n: Column, percent: int) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(math.log(class_step(percent))))
+
+
 def check_tiles(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside buckets (bucket, doc_id, label). A tile travels as one
     row; tiles of a bucket meet pairwise, but for two that hold one component only."""
-    place = Window.partitionBy("bucket").orderBy("label", "doc_id")
-    rows = buckets.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE))
-    tiles = rows.join(sets, "doc_id").groupBy("bucket", "tile").agg(
+    kind = size_class(F.col("n"), percent)
+    rows = buckets.join(sets.select("doc_id", "n"), "doc_id").withColumn("kind", kind)
+    rows = ranked(rows, *(F.col(c) for c in ("bucket", "kind", "label", "doc_id")))
+    most = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(
+        F.lit(float(TILE_ITEMS)) / F.pow(F.lit(class_step(percent)), F.col("kind") + 1))))
+    number = F.shiftleft("kind", KIND_AT) + F.floor(F.col("rank") / most)
+    rows = rows.withColumn("tile", number).drop("kind", "n", "rank")
+    tiles = rows.join(sets.select("doc_id", "items"), "doc_id").groupBy("bucket", "tile").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
         F.collect_list(F.struct("doc_id", "label", "items")).alias("docs"))
     tiles = cut_lineage(tiles, "tiles")
-    spans = tiles.select("bucket", "tile", "low", "high")
-    x, y = spans.alias("x"), spans.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tile") <= F.col("y.tile")))
+    spans = tiles.select("bucket", "tile", "low", "high", F.shiftright("tile", KIND_AT).alias("kind"))
+    x = spans.withColumn("meets", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
+    x, y = x.alias("x"), spans.alias("y")
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.meets") == F.col("y.kind"))
+                   & (F.col("x.tile") <= F.col("y.tile")))
     pairs = pairs.where(~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high"))
                           & (F.col("x.low") == F.col("y.low"))))
     pairs = pairs.select(F.col("x.bucket").alias("bucket"), F.col("x.tile").alias("i"),
