@@ -44,3 +44,10 @@ def test_more_targets_than_a_folder_name_holds(spark, rows):
     found = {r["target"]: (r["n"], r["least"]) for r in back.groupBy("target").agg(
         F.count("*").alias("n"), F.min("y").alias("least")).collect()}
     assert found == {n: (60, float(i)) for i, n in enumerate(names)}
+
+
+def test_fold_rows_hold_what_is_used(spark):
+    from uqframe.catalogue import models
+
+    df, targets = models.fold_rows(spark, "/root/testdata/sf0.001")
+    assert set(df.columns) == {"row_id", "fold", *models.LINEAR, *targets}
