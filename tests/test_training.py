@@ -42,6 +42,38 @@ def test_cross_validation(spark, rows):
     assert ranked[0]["feature"] == "a" and ranked[0]["importance"] > 0.5
 
 
+def test_assembled_features_fit_as_their_columns(rows):
+    """The vector that is made once gives the models of the columns, on the rows that have all of them."""
+    df = rows.withColumns({"a": F.when(F.col("a") > 2, F.col("a")), "b": F.when(F.col("b") == 6, float("nan")).otherwise(F.col("b"))})
+    once = cut_lineage(training.assembled(df, X).drop(*X))
+    assert once.where("features is not null").count() == df.dropna(subset=X).count() < 400
+    for mode, params in (("dt", {"maxDepth": 4}), ("rf_cal", FOREST)):
+        whole = training.fit_model(df, "b_y", X, mode, params)
+        fitted = training.fit_model(once, "b_y", X, mode, params)
+        assert fitted.model.numFeatures == 2
+        scores = [[r["p"] for r in f.score(frame, "p").orderBy("row_id").select("p").collect()]
+                  for f, frame in ((whole, df.dropna(subset=X)), (fitted, once.where("features is not null")))]
+        assert len(set(scores[1])) > 5
+        if mode == "dt":
+            assert scores[0] == pytest.approx(scores[1])
+    assert not training.holds(once, ["b", "a"], "dt") and not training.holds(once, X, "lr")
+
+
+def test_training_frame_holds_the_vector_only(rows, monkeypatch):
+    seen = {}
+
+    def cut(df, label="cut"):
+        seen.setdefault(label, df.columns)
+        return cut_lineage(df, label)
+
+    monkeypatch.setattr(training, "cut_lineage", cut)
+    run = training.train_targets(rows, ["b_y", "c_biooil"], X, k=3, forest=FOREST,
+                                 tree={"maxDepth": 4}, linear_features=["a"], group="doi", final_fit=False)
+    assert {r["n"] for r in run.results.collect()} == {400}
+    assert "features" in seen["training"] and "b" not in seen["training"]
+    assert len({"b_y", "c_biooil"} & set(seen["target"])) == 1
+
+
 def test_group_residuals(rows):
     df = splits.group_folds(rows, "doi", 3)
     oof = training.out_of_fold(df, "b_y", X, 3, params=FOREST, keep=["row_id", "doi"])
