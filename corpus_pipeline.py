@@ -5,33 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from uqframe.llm import credentials, packing, quality, substrings, superminhash
-from uqframe.llm.common import table
+from uqframe.llm.common import bound_batches, table
 from uqframe.llm.queries import tokenizer_file
 from uqframe.sources.session import cut_lineage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines above the limits."""
+    bound_batches(spark)
     return quality.apply_rules(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: shingles of five words, similarity of 0.8 or more."""
+    bound_batches(spark)
     return superminhash.keep_first(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the words of windows that an earlier document holds."""
+    bound_batches(spark)
     return substrings.without_repeats(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their secrets replaced by a mark."""
+    bound_batches(spark)
     return credentials.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences of 2048 tokens."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 

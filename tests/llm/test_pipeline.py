@@ -1,5 +1,8 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm.data import SCHEMA, documents, frame
+from uqframe.llm.common import BATCH_BYTES
 
 
 def test_stages(spark):
@@ -23,3 +26,19 @@ def test_no_documents(spark):
         assert docs.count() == 0
         if "text" in docs.columns:
             docs = spark.createDataFrame([], SCHEMA)
+
+
+def test_batches_of_a_stage_are_bounded(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(limit)
+        stage(spark, frame(spark, []), "")
+        rows = spark.range(16).coalesce(1).selectExpr("cast(repeat('x', 3 << 20) as binary) AS text")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) >= 48 << 20 and max(found) < BATCH_BYTES + (4 << 20)
+    spark.conf.unset(limit)
