@@ -19,6 +19,7 @@ from uqframe.operators.quantiles import (
     exact_quantiles, long_values, quantile_columns, value_code,
 )
 from uqframe.operators.skew import attach, with_facts
+from uqframe.sources.session import cut_lineage
 
 
 def finite_pairs(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -236,6 +237,7 @@ def box_stats(df: DataFrame, values: list[str], by: list[str] = ()) -> DataFrame
     """(by…, variable, n, mean, std_pop, std_samp, q25, median, q75, min, max, low, high):
     quartiles are exact; ``low`` and ``high`` are the mean ± 1.5 sample deviations."""
     by = list(by)
+    df = cut_lineage(df.select(*by, *[F.col(c).cast("double").alias(c) for c in values]), "boxes")  # read by each pass
     moments = long_values(df, values, by).groupBy(*by, "variable").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_pop"),
         F.stddev_samp("value").alias("std_samp"), F.min("value").alias("min"),

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uqframe.functions.exprs import finite
-from uqframe.operators.skew import attach
+from uqframe.operators.skew import attach, fits
+from uqframe.sources.session import cut_lineage
 
 #: Rank error of the sketch is one in ACCURACY; brackets reach SLACK to either side, which is
 #: at least a few ranks for keys of more than FEW_ROWS rows.
@@ -64,7 +65,12 @@ def rank_values(long: DataFrame, keys: list[str], wanted: list[Column], probs: l
 
     ``probs`` says about where the positions lie, as shares of the rows: within a few ranks.
     """
-    placed = attach(long, _brackets(long, keys, probs), keys, "inner", bounded=bounded)
+    brackets = _brackets(long, keys, probs)
+    if bounded:
+        placed = attach(long, brackets, keys, "inner", bounded=True)
+    else:  # the pilot has counted the keys: few are broadcast, and no row moves
+        brackets = cut_lineage(brackets, "brackets")
+        placed = attach(long, brackets, keys, "inner", bounded=fits(brackets), counts=brackets.select(*keys, "n"))
     # odd cells are single ends of brackets, even ones the stretches between them
     below = F.size(F.filter("edges", lambda e: e < F.col("value")))
     placed = placed.select(*keys, "n", "value", "narrow", below.alias("below"),
